@@ -59,22 +59,22 @@ def bigrams(template: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
+#: Words too common to search for while others will do.
+_COMMON = frozenset("a an and any by for if in is it may not of on or the this to under use with you".split())
+
+
 def anchors(template: str, threshold: float) -> set[str]:
-    """Words one of which is in every text that matches: long ones first, until enough bigrams have one."""
+    """Words one of which is in every text that matches: rare and long ones first, until enough bigrams have one."""
     grams = bigrams(template)
     least = math.ceil(threshold / (2 - threshold) * len(grams) - 1e-9)
     chosen: set[str] = set()
-    for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
+    for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (w in _COMMON, -len(w), w)):
         if sum(1 for g in grams if chosen & set(g.split())) > len(grams) - least:
             break
         chosen.add(word)
     return chosen
 
 
-def _words(unit: Column) -> Column:
-    return F.filter(F.split(unit, " "), lambda w: w != "")
-
-
 def license_scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates: dict[str, str] | None = None
 ) -> DataFrame:
@@ -90,13 +90,19 @@ def license_scan(
     low = threshold / (2 - threshold)
     text = ascii_lower(F.col(text_col).cast("string"))
     # a word that holds another anchor adds nothing to a search for substrings
-    needles = sorted(w for w in words if not any(v != w and v in w for v in words))
-    maybe = reduce(lambda a, b: a | b, (F.contains(F.col("_t"), F.lit(w)) for w in needles))
+    long = {w for w in words if len(w) > 4}
+    needles = sorted(w for w in long if not any(v != w and v in w for v in long))
+    tests = [F.contains(F.col("_t"), F.lit(w)) for w in needles]
+    if words - long:
+        tests.append(F.col("_t").rlike(f"(?<![a-z0-9])(?:{'|'.join(sorted(words - long))})(?![a-z0-9])"))
+    maybe = reduce(lambda a, b: a | b, tests)
     plain = F.regexp_replace(F.col("_t"), "[^a-z0-9\n]+", " ")
-    lines, paragraphs, whole = F.split(plain, "\n"), F.split(plain, "\n *\n"), F.array(F.translate(plain, "\n", " "))
-    units = F.array_distinct(
-        F.transform(F.concat(lines, F.transform(paragraphs, lambda p: F.translate(p, "\n", " ")), whole), lambda u: F.array_join(_words(u), " "))
-    )
+
+    def split_up(t: Column) -> Column:
+        parts = F.concat(F.split(t, "\n"), F.split(t, "\n *\n"), F.array(t))
+        return F.array_distinct(F.transform(parts, lambda u: F.trim(F.regexp_replace(u, "[ \n]+", " "))))
+
+    units = F.get(F.transform(F.array(plain), split_up), 0)
     table = F.array(*(
         F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams")) for name, grams in known.items()
     ))
@@ -104,9 +110,12 @@ def license_scan(
 
     def best(unit: Column) -> Column:
         """The unit's best template as struct(-dice, name), null under the threshold."""
-        w = F.split(unit, " ")
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))
-        sized = F.struct(grams.alias("grams"), F.size(grams).alias("n"))
+
+        def pairs(w: Column) -> Column:
+            return F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+        def counted(g: Column) -> Column:
+            return F.struct(g.alias("grams"), F.size(g).alias("n"))
 
         def likest(u: Column) -> Column:
             fits = F.filter(table, lambda t: (u.n >= F.size(t.grams) * F.lit(low) - 1e-9) & (u.n * F.lit(low) - 1e-9 <= F.size(t.grams)))
@@ -116,7 +125,8 @@ def license_scan(
             )
             return F.array_min(F.filter(scored, lambda s: s.d <= -threshold))
 
-        return F.get(F.transform(F.array(sized), likest), 0)
+        # arrays of one: each step is worked out once and named
+        return F.get(F.transform(F.transform(F.transform(F.array(F.split(unit, " ")), pairs), counted), likest), 0)
 
     long_enough = F.filter(units, lambda u: F.length(u) - F.length(F.translate(u, " ", "")) >= fewest)
     found = F.filter(F.transform(long_enough, best), lambda b: b.isNotNull())
