@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import shared_folder
-from quire.llm.wordcache import encode_all, load
+from quire.llm.wordcache import as_bytes, encode_all, load
 
 #: Words in every task's memory at most.
 FREQUENT_WORDS = 300_000
@@ -71,7 +71,7 @@ def word_table(docs: DataFrame, tokenizer: str) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
-                ids = [np.array(x, dtype="<u4").tobytes() for x in encode_all(tokenizer, part.column(0).to_pylist())]
+                ids = as_bytes(encode_all(tokenizer, part.column(0).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
     counts = docs.select("_text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))

@@ -42,8 +42,9 @@ def pieces(docs: DataFrame, tokenizer: str, separator: int = 0, capacity: int =
         table = wordcache.chunk_table(tokenizer)
         end = np.array([separator], dtype="<u4").tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            # an Arrow batch is 64 MB at most; a text that is longer comes alone
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
                 rows, piece, start, length, crc = [], [], [], [], []
                 for i, ids in enumerate(table.encode(b.column(1).to_pylist())):
                     ids += end

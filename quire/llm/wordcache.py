@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import itertools
+import os
 
 import numpy as np
 
@@ -19,31 +21,62 @@ def load(path: str):
 
 
 def encode_all(path: str, texts: list[str]) -> list[list[int]]:
-    return [e.ids for e in load(path).encode_batch(texts, add_special_tokens=False)]
+    """Ids of each text; the library's own threads stay off, as Spark's tasks fill the cores."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return [e.ids for e in load(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def as_bytes(ids: list[list[int]]) -> list[bytes]:
+    """Each list as little-endian uint32."""
+    flat = np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4").tobytes()
+    ends = [0, *itertools.accumulate(4 * len(x) for x in ids)]
+    return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
 
 class ChunkTable:
-    """Ids of white-space separated chunks of a tokenizer that drops white space, as little-endian uint32 bytes.
+    """Ids of white-space separated chunks of a lower-casing tokenizer that drops white space, as little-endian uint32 bytes.
 
-    No token crosses ASCII white space, so a text's ids are its chunks' ids in order. The table starts anew when
-    it is full, which only costs encoding again.
+    No token crosses ASCII white space, so a text's ids are its chunks' ids in order. A chunk is looked up whole
+    first. If it is new, closing ASCII punctuation is taken off a letter or digit, where the tokenizer cuts too, and
+    both parts are looked up in lower case; only parts that are new as well are encoded. Either table starts anew when it is full, which
+    only costs encoding again.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
-        self.path, self.most, self.ids = path, most, {}
+    _TAIL = b".,!?;:%&*$#|"
+
+    def __init__(self, path: str, most_chunks: int = 350_000, most_parts: int = 700_000):
+        self.path, self.most_chunks, self.most_parts = path, most_chunks, most_parts
+        self.chunks: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+
+    def _cut(self, chunk: bytes) -> tuple[bytes, bytes]:
+        if b"<|" in chunk:
+            return chunk, b""
+        low = chunk.lower()
+        core = low.rstrip(self._TAIL)
+        if core and len(core) < len(low):
+            last = core[-1:] if core[-1] < 128 else core[-4:].decode("utf-8", "ignore")[-1:].encode()
+            if last.isalnum() or last.decode().isalpha():
+                return core, low[len(core) :]
+        return low, b""
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        new = set().union(*split).difference(self.ids) if split else set()
-        if len(self.ids) + len(new) > self.most:
-            self.ids.clear()
-            new = set().union(*split)
-        fresh = list(new)
+        everything = set().union(*split)
+        if len(self.chunks) > self.most_chunks:
+            self.chunks.clear()
+        if len(self.parts) > self.most_parts:
+            self.parts.clear()
+        new = [(c, *self._cut(c)) for c in everything.difference(self.chunks)]
+        parts = self.parts
+        fresh = list({p for _, *both in new for p in both if p and p not in parts})
         for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for chunk, ids in zip(part, encode_all(self.path, [c.decode() for c in part])):
-                self.ids[chunk] = np.array(ids, dtype="<u4").tobytes()
-        get = self.ids.__getitem__
+            some = fresh[at : at + 4096]
+            parts.update(zip(some, as_bytes(encode_all(self.path, [c.decode() for c in some]))))
+        parts[b""] = b""
+        for chunk, core, tail in new:
+            self.chunks[chunk] = parts[core] + parts[tail]
+        get = self.chunks.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
 

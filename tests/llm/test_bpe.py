@@ -54,9 +54,9 @@ def test_chunk_table_equals_the_tokenizer():
     import numpy as np
 
     _, want = direct(WORD)
-    table = wordcache.ChunkTable(WORD, most=20)
-    got = [np.frombuffer(b, "<u4").tolist() for t in TEXTS for b in table.encode([t])]
-    assert got == want
+    for sizes in ((400_000, 1_000_000), (5, 5)):
+        table = wordcache.ChunkTable(WORD, *sizes)
+        assert [np.frombuffer(b, "<u4").tolist() for t in TEXTS for b in table.encode([t])] == want
 
 
 def test_packing(spark):
