@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import ASCII_LOWER, cut_lineage
@@ -210,6 +210,11 @@ def _hot_keys(todo: DataFrame, level: int, max_group: int) -> DataFrame:
     return counts.select("key", "i", "value").mapInArrow(variants, "key long").distinct()
 
 
+def _apart(key: str) -> Column:
+    """The key in another form: a join on it shuffles both sides, even one just aggregated by the key, so that a hot key can be split."""
+    return F.bitwise_not(F.col(key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of ``edges`` (a, b: longs).
 
@@ -221,12 +226,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: every larger neighbour of a node moves to the node's least neighbour
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(_apart("u").alias("w"), F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, _apart("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         # small star: every smaller neighbour of a node, and the node, move to the least of them
-        small = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("w"), "m")
+        small = large.groupBy("a").agg(F.min("b").alias("m")).select(_apart("a").alias("w"), "m")
         moved = (
-            large.join(small, F.col("a") == F.col("w"))
+            large.join(small, _apart("a") == F.col("w"))
             .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
             .where("a <> b")
             .distinct()
@@ -252,8 +257,8 @@ def simhash_groups(
     distinct = cut_lineage(marked.groupBy("fp").agg(F.min("_id").alias("least")))
     roots = components(links(distinct, max_bits, max_group))
     placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("r"), "component_id")
-    by_fp = cut_lineage(placed.join(smallest, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"))
+    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id")).select(_apart("root").alias("r"), "component_id")
+    by_fp = cut_lineage(placed.join(smallest, _apart("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"))
     return marked.join(by_fp, F.col("fp") == F.col("f")).select(
         F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
