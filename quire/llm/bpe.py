@@ -1,9 +1,10 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Words (a space and what follows it, or a run of white space; tokens never cross them) are counted in Spark, and
-   each distinct word is encoded once. The table is written to the shared folder.
-2. The most frequent words, a fixed number at most, are sent to every task. Documents are cut into words again and
-   become batches of references to them; the few other words are joined with the table by equality.
+1. Words are a space and what follows it, or a run of white space; tokens never cross them, nor the place between a
+   letter or digit and closing punctuation. The most frequent words of a bounded sample, a fixed number at most, are
+   encoded once and sent to every task.
+2. Documents become batches of references to words. A batch's other words, once each, are shuffled by word, so that
+   every distinct word meets in one place and is encoded once; its ids go back to the batches that asked.
 3. Batch by batch, ids are put back by position.
 Decoding looks every id up in a table of pieces, whose size is the vocabulary's.
 """
@@ -12,7 +13,6 @@ from __future__ import annotations
 
 import functools
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,13 +24,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import shared_folder
+from quire.llm.common import bounded_sample
 from quire.llm.wordcache import as_bytes, encode_all, load
 
-#: Words in every task's memory at most.
-FREQUENT_WORDS = 300_000
-#: A batch ends at so many documents or characters.
-BATCH_DOCS, BATCH_CHARS = 512, 2_000_000
+#: Words in every task's memory at most, and the documents they are counted in. Neither changes a result.
+FREQUENT_WORDS = 250_000
+SAMPLE_DOCS = 30_000
+#: A batch ends at so many characters.
+BATCH_CHARS = 4_000_000
+#: Closing punctuation that is cut off a word.
+_TAIL = ".,!?;:%&*$#|"
 # fixed values: Unicode's white space
 _SPACE = "\t\n\v\f\r \x85\xa0  -     　"
 _WORD = re.compile(f"[ ]?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -50,8 +53,16 @@ def split_words(text: str | None, specials: tuple[str, ...] = ()) -> list[str]:
     return _WORD.findall(text)
 
 
-def word_table(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, n, ids) of the distinct words of column _text, encoded once each; ids are little-endian uint32."""
+def cut_word(word: str) -> tuple[str, ...]:
+    """A word without its closing punctuation, and that; the tokenizer cuts there as well."""
+    core = word.rstrip(_TAIL)
+    if core and len(core) < len(word) and (core[-1].isalpha() or core[-1] in "0123456789"):
+        return core, word[len(core) :]
+    return (word,)
+
+
+def frequent_words(sample: DataFrame, tokenizer: str, most: int) -> list[tuple[str, bytes]]:
+    """(word, ids) of at most ``most`` words of column _text, the most frequent, ties by name; encoded once each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         specials, seen = _specials(tokenizer), Counter()
@@ -62,104 +73,123 @@ def word_table(docs: DataFrame, tokenizer: str) -> DataFrame:
 
         for b in batches:
             for text in b.column(0):
-                seen.update(split_words(text.as_py(), specials))
-                if len(seen) > 400_000:
+                words = split_words(text.as_py(), specials)
+                # a text that is one word on its own is not worth a place
+                if len(words) > 1:
+                    seen.update(words)
+                if len(seen) > 300_000:
                     yield from out()
         yield from out()
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                ids = as_bytes(encode_all(tokenizer, part.column(0).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], ["word", "n", "ids"])
-
-    counts = docs.select("_text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    encoded = counts.mapInArrow(encode, "word string, n long, ids binary")
-    path = f"{shared_folder(docs.sparkSession)}/quire-words-{uuid.uuid4().hex}"
-    _write(encoded, path)
-    return docs.sparkSession.read.parquet(path)
-
-
-def _write(df: DataFrame, path: str) -> None:
-    """Writes a table; its shuffle files go as soon as it stands, where Spark can do that."""
-    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(name, None)
-    try:
-        conf.set(name, "true")
-        df.write.parquet(path)
-    finally:
-        conf.unset(name) if before is None else conf.set(name, before)
-
-
-def frequent_words(words: DataFrame, most: int) -> list[tuple[str, bytes]]:
-    """At most ``most`` words, the most frequent, cut at a count so that no ties are broken. Bounded by ``most``."""
-    # at most a few hundred rows: counts in steps of an eighth of a power of two
-    step = F.floor(F.log2("n") * 8).cast("int")
-    sizes = sorted(((r.step, r.k) for r in words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
-    total, least = 0, None
-    for s, k in sizes:
-        total += k
-        if total > most:
-            break
-        least = s
-    if least is None:
-        return []
-    return [(r.word, bytes(r.ids)) for r in words.where(step >= least).select("word", "ids").collect()]
+    counts = sample.select("_text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most)
+    ids = top.repartition(TOP_PARTS, "word").select("word").mapInArrow(_encode_runs(tokenizer, 0), "word string, ids binary")
+    return sorted((r.word, bytes(r.ids)) for r in ids.collect())
+
+
+#: Tasks that encode the frequent words.
+TOP_PARTS = 8
+
 
+def _encode_runs(tokenizer: str, word_at: int):
+    """Adds ids to rows that are sorted by word: a run of one word is encoded once. Drops the word column if others are there."""
 
-def _batches(batches: Iterator[pa.RecordBatch], specials: tuple[str, ...]) -> Iterator[tuple[bytes, pa.Array, list[list[str]]]]:
-    """(key, ids, words of each document). The key is a hash of the batch's ids and texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, last_ids = None, b""
+        for b in batches:
+            words = b.column(word_at).to_pylist()
+            fresh = [w for before, w in zip([last, *words], words) if w != before]
+            ids: dict[str, bytes] = {last: last_ids}
+            for at in range(0, len(fresh), 4096):
+                some = fresh[at : at + 4096]
+                ids.update(zip(some, as_bytes(encode_all(tokenizer, some))))
+            if words:
+                last, last_ids = words[-1], ids[words[-1]]
+            others = [(n, b.column(i)) for i, n in enumerate(b.schema.names) if i != word_at] or [("word", b.column(word_at))]
+            yield pa.RecordBatch.from_arrays([c for _, c in others] + [pa.array([ids[w] for w in words], pa.binary())], [n for n, _ in others] + ["ids"])
+
+    return run
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, pa.Array, list[str | None]]]:
+    """(key, ids, texts). The key is a hash of the batch's ids and texts."""
     for whole in batches:
-        at = 0
-        while at < whole.num_rows:
-            end, chars, texts = at, 0, []
-            while end < whole.num_rows and end - at < BATCH_DOCS and chars < BATCH_CHARS:
-                texts.append(whole.column(1)[end].as_py())
-                chars += len(texts[-1] or "")
+        texts, at = whole.column(1).to_pylist(), 0
+        while at < len(texts):
+            end, chars = at, 0
+            h = xxhash.xxh3_128()
+            while end < len(texts) and chars < BATCH_CHARS:
+                t = texts[end]
+                chars += len(t or "")
+                h.update(b"\0" if t is None else b"\1" + t.encode("utf-8", "surrogatepass") + b"\0")
                 end += 1
             ids = whole.column(0).slice(at, end - at)
-            h = xxhash.xxh3_128(repr(ids.to_pylist()))
-            for t in texts:
-                h.update(b"\0" if t is None else b"\1" + t.encode("utf-8", "surrogatepass") + b"\0")
-            yield h.digest(), ids, [split_words(t, specials) for t in texts]
+            h.update(repr(ids.to_pylist()))
+            yield h.digest(), ids, texts[at:end]
             at = end
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT_WORDS) -> DataFrame:
+def refer(texts: list[str | None], places: dict[str, int], specials: tuple[str, ...]) -> tuple[np.ndarray, list[int], dict[str, int]]:
+    """References of all texts' words, how many each text has, and the batch's own words with their references, which follow ``places``."""
+    own: dict[str, int] = {}
+    cuts: dict[str, list[int]] = {}
+    refs: list[int] = []
+    sizes: list[int] = []
+    for text in texts:
+        before = len(refs)
+        words = split_words(text, specials)
+        found = list(map(places.get, words))
+        if None in found:
+            for w, at in zip(words, found):
+                if at is not None:
+                    refs.append(at)
+                    continue
+                parts = cuts.get(w)
+                if parts is None:
+                    parts = cuts[w] = [
+                        p if p is not None else own.setdefault(part, len(places) + len(own))
+                        for part in (cut_word(w) if len(words) > 1 else (w,))
+                        for p in (places.get(part),)
+                    ]
+                refs += parts
+        else:
+            refs += found
+        sizes.append(len(refs) - before)
+    return np.array(refs, dtype="<u4"), sizes, own
+
+
+def encode(
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT_WORDS, sample_docs: int = SAMPLE_DOCS
+) -> DataFrame:
     """One row per row of ``docs``: id, ids (array of int), as the tokenizer encodes the whole text without special tokens added.
 
     A null or empty text has no ids. Repeated rows get a row each; an empty table gives an empty result; other
-    columns are ignored. ``docs`` is read three times and has to give the same rows in the same partitions each
-    time, as files and checkpoints do.
+    columns are ignored. ``docs`` is read more than once and has to give the same rows in the same partitions each
+    time, as files and checkpoints do; a batch that differs fails the job and never loses words.
     """
-    spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()
-    words = word_table(src, tokenizer)
-    top = frequent_words(words, frequent)
+    top = frequent_words(bounded_sample(src, "_id", sample_docs, src.count()), tokenizer, frequent) if frequent else []
     # bounded by ``frequent``
-    sent = spark.sparkContext.broadcast(({w: i for i, (w, _) in enumerate(top)}, [ids for _, ids in top]))
+    sent = docs.sparkSession.sparkContext.broadcast(({w: i for i, (w, _) in enumerate(top)}, [ids for _, ids in top]))
 
     def skeleton(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per batch: references to words, compressed. Frequent words come first, then the batch's own."""
-        places, pack = sent.value[0], zstandard.ZstdCompressor(level=1)
-        for key, ids, docs_words in _batches(batches, _specials(tokenizer)):
-            own = _own_words(docs_words, places)
-            refs = [places[w] if w in places else own[w] for ws in docs_words for w in ws]
-            planes = np.array(refs, dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+        """A row per batch: references to words, compressed by byte planes."""
+        pack = zstandard.ZstdCompressor(level=1)
+        for key, ids, texts in _batches(batches):
+            refs, sizes, _ = refer(texts, sent.value[0], _specials(tokenizer))
+            planes = refs.view(np.uint8).reshape(-1, 4).T.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([key], pa.binary()), _one_list(ids), _one_list(pa.array(map(len, docs_words), pa.int32())), pa.array([pack.compress(planes)], pa.binary())],
+                [pa.array([key], pa.binary()), _one_list(ids), _one_list(pa.array(sizes, pa.int32())), pa.array([pack.compress(planes)], pa.binary())],
                 ["key", "row_ids", "sizes", "refs"],
             )
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(other_key, at, other): each batch's own words with their references."""
-        places = sent.value[0]
-        for key, _, docs_words in _batches(batches, _specials(tokenizer)):
-            own = _own_words(docs_words, places)
+        """(other_key, at, other): each batch's own words, once each, in order of spelling."""
+        for key, _, texts in _batches(batches):
+            own = sorted(refer(texts, sent.value[0], _specials(tokenizer))[2].items())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([key] * len(own), pa.binary()), pa.array(own.values(), pa.int32()), pa.array(own.keys(), pa.string())],
+                [pa.array([key] * len(own), pa.binary()), pa.array([at for _, at in own], pa.int32()), pa.array([w for w, _ in own], pa.string())],
                 ["other_key", "at", "other"],
             )
 
@@ -170,42 +200,37 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 sizes = b.column(1)[i].values.to_numpy()
                 planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b.column(2)[i].as_py()), np.uint8)
                 refs = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
-                yield _documents(id_col, b.column(0)[i].values, sizes, refs, known, b.column(3)[i].as_py() or [])
+                yield from _documents(id_col, b.column(0)[i].values, sizes, refs, known, b.column(3)[i])
 
     parts = src.mapInArrow(skeleton, f"key binary, row_ids array<{kind}>, sizes array<int>, refs binary")
     rare = src.mapInArrow(others, "other_key binary, at int, other string")
-    # a word that is not frequent is in fewer batches than the least frequent of those, so no key of this join is hot
-    found = rare.join(words.select("word", "ids"), F.col("other") == F.col("word"))
+    # a word is in a batch once, and its rows only stream through, so a word that many batches ask for is no burden
+    found = rare.repartition("other").sortWithinPartitions("other").mapInArrow(_encode_runs(tokenizer, 2), "other_key binary, at int, ids binary")
+    # a batch's own words are fewer than its characters, which are bounded
     by_batch = found.groupBy("other_key").agg(F.collect_list(F.struct("at", "ids")).alias("others"))
     whole = parts.join(by_batch, F.col("key") == F.col("other_key"), "left").select("row_ids", "sizes", "refs", "others")
     return whole.mapInArrow(assemble, f"{id_col} {kind}, ids array<int>")
 
 
-def _own_words(docs_words: list[list[str]], places: dict[str, int]) -> dict[str, int]:
-    """References of the words of a batch that are not frequent, in order of appearance."""
-    own: dict[str, int] = {}
-    for ws in docs_words:
-        for w in ws:
-            if w not in places and w not in own:
-                own[w] = len(places) + len(own)
-    return own
-
-
 def _one_list(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _documents(id_col: str, row_ids: pa.Array, sizes: np.ndarray, refs: np.ndarray, known: list[bytes], others: list[dict]) -> pa.RecordBatch:
-    """Ids of the documents of a batch, put back by position."""
-    own = {o["at"]: o["ids"] for o in others}
+def _documents(id_col: str, row_ids: pa.Array, sizes: np.ndarray, refs: np.ndarray, known: list[bytes], others: pa.Scalar) -> Iterator[pa.RecordBatch]:
+    """Ids of the documents of a batch, put back by position, some hundred documents at a time."""
+    own: dict[int, bytes] = {}
+    if others.is_valid:
+        own = dict(zip(others.values.field("at").to_pylist(), others.values.field("ids").to_pylist()))
     # KeyError if a word of the batch has not come back, never a document with less
-    table = known + [own[len(known) + i] for i in range(max(0, int(refs.max(initial=0)) + 1 - len(known)))]
-    pieces = list(map(table.__getitem__, refs.tolist()))
+    table = known + [own[len(known) + i] for i in range(max(0, int(refs.max(initial=0)) + 1 - len(known)) if len(refs) else 0)]
     ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-    lengths = np.concatenate([[0], np.cumsum([len(x) // 4 for x in pieces], dtype=np.int64)])
-    ids = np.frombuffer(b"".join(pieces), dtype="<u4").astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(lengths[ends].astype(np.int32)), pa.array(ids))
-    return pa.RecordBatch.from_arrays([row_ids, lists], [id_col, "ids"])
+    for lo in range(0, len(sizes), 256):
+        hi = min(lo + 256, len(sizes))
+        pieces = list(map(table.__getitem__, refs[ends[lo] : ends[hi]].tolist()))
+        lengths = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4)])
+        ids = np.frombuffer(b"".join(pieces), dtype="<u4").astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(lengths[ends[lo : hi + 1] - ends[lo]].astype(np.int32)), pa.array(ids))
+        yield pa.RecordBatch.from_arrays([row_ids.slice(lo, hi - lo), lists], [id_col, "ids"])
 
 
 def byte_of_char() -> dict[str, int]:
