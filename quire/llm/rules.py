@@ -80,7 +80,8 @@ def _word_length(d: Document) -> bool:
 
 
 def _dup_lines(d: Document) -> bool:
-    return 10 * d.n_dup_lines() > 3 * len(d.lines)
+    # a line or two that return in a short text are a refrain and no junk
+    return len(d.lines) >= 10 and 10 * d.n_dup_lines() > 3 * len(d.lines)
 
 
 def _few_letters(d: Document) -> bool:
