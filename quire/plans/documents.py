@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import noise, paragraphs, placement, tables
+from quire.plans.stage import cut
 
 _PAGE = ["doc_id", "page"]
 
@@ -13,9 +14,9 @@ _PAGE = ["doc_id", "page"]
 def extract_document(lines: DataFrame, segments: DataFrame, images: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Document mode: (paragraphs, images). Table text is cut, gaps are judged over the document, noise is dropped and the
     rest renumbered; inline images come before table images and both carry after_idx."""
-    regions = tables.table_regions(segments, pages)
-    paras = paragraphs.paragraphs(tables.outside_tables(lines, regions, pages), "document")
-    kept = _renumber(noise.clean(paras), ["doc_id"])
+    regions = cut(tables.table_regions(segments, pages))
+    paras = cut(paragraphs.paragraphs(tables.outside_tables(lines, regions, pages), "document"))
+    kept = cut(_renumber(noise.clean(paras), ["doc_id"]))
     inline = placement.place_by_page(placement.without_table_pages(images.select(*_PAGE, "img_seq"), regions), kept)
     tops = regions.join(pages.select(*_PAGE, "height"), _PAGE).select(*_PAGE, (F.col("height") - F.col("max_y")).alias("top_y"))
     placed = placement.place_regions(tops, kept)
@@ -31,9 +32,9 @@ def page_blocks(lines: DataFrame, segments: DataFrame, images: DataFrame, pages:
     titles = noise.learned_titles(lines)
     if page is not None:
         lines, segments, images, pages = (d.where(F.col("page") == page) for d in (lines, segments, images, pages))
-    regions = tables.table_regions(segments, pages)
+    regions = cut(tables.table_regions(segments, pages))
     paras = paragraphs.headings(paragraphs.paragraphs(tables.outside_tables(lines, regions, pages), "page"))
-    kept = _renumber(noise.clean(paras, titles), _PAGE)
+    kept = cut(_renumber(noise.clean(cut(paras), titles), _PAGE))
     tops = regions.join(pages.select(*_PAGE, "height"), _PAGE).select(*_PAGE, (F.col("height") - F.col("max_y")).alias("top_y"))
     # within a page, only its own paragraphs count
     own = ["p_doc", "p_page"]

@@ -58,7 +58,7 @@ def _paras(rows: str, scope: str) -> str:
               OVER (PARTITION BY {scope} ORDER BY page, seq) - 1 AS para_idx
   FROM gapped g JOIN medians USING ({scope})
 ), paras AS (
-  SELECT doc_id, page, para_idx::INTEGER AS para_idx, arg_min(y, seq)::DOUBLE AS top_y,
+  SELECT doc_id, page, para_idx::BIGINT AS para_idx, arg_min(y, seq)::DOUBLE AS top_y,
          CASE WHEN max(n) = 1 THEN min(text) ELSE {spaced} END AS text, max(font_size)::DOUBLE AS font_size, bool_or(is_bold) AS is_bold
   FROM islands GROUP BY doc_id, page, para_idx)"""
 
@@ -71,11 +71,11 @@ _HEADINGS = """base AS (
 _SEGMENTS = """items AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS path_seq FROM lineitem
 ), b_segments AS (
-  SELECT 1 AS doc_id, l_orderkey AS page, path_seq, 0 AS seg_seq, 50::FLOAT AS x1,
+  SELECT 1::BIGINT AS doc_id, l_orderkey AS page, path_seq, 0::BIGINT AS seg_seq, 50::FLOAT AS x1,
          (100 + 30 * l_linenumber + CASE WHEN l_partkey % 10 = 0 THEN 2000 ELSE 0 END)::FLOAT AS y1,
          (CASE WHEN l_suppkey % 7 = 0 THEN 60 ELSE 550 END)::FLOAT AS x2,
          (100 + 30 * l_linenumber + CASE WHEN l_partkey % 10 = 0 THEN 2000 ELSE 0 END)::FLOAT AS y2 FROM items
-  UNION ALL SELECT 1, l_orderkey, path_seq, 1, (50 + 80 * l_linenumber)::FLOAT, 110::FLOAT, (50 + 80 * l_linenumber)::FLOAT, 400::FLOAT FROM items
+  UNION ALL SELECT 1, l_orderkey, path_seq, 1::BIGINT, (50 + 80 * l_linenumber)::FLOAT, 110::FLOAT, (50 + 80 * l_linenumber)::FLOAT, 400::FLOAT FROM items
 ), ruled AS (
   SELECT *, CASE WHEN abs(y2 - y1) <= 1.5 AND abs(x2 - x1) >= 15 THEN 'h' WHEN abs(x2 - x1) <= 1.5 AND abs(y2 - y1) >= 15 THEN 'v' END AS axis
   FROM b_segments WHERE x1 BETWEEN -1 AND 613 AND x2 BETWEEN -1 AND 613 AND y1 BETWEEN -1 AND 793 AND y2 BETWEEN -1 AND 793
@@ -88,12 +88,12 @@ _SEGMENTS = """items AS (
   SELECT page, axis, min(least(x1, x2)) AS x0, min(least(y1, y2)) AS y0, max(greatest(x1, x2)) AS x9, max(greatest(y1, y2)) AS y9
   FROM ruled WHERE axis IS NOT NULL GROUP BY ALL
 ), regions AS (
-  SELECT 1 AS doc_id, page, least(h.x0, v.x0) AS min_x, least(h.y0, v.y0) AS min_y, greatest(h.x9, v.x9) AS max_x, greatest(h.y9, v.y9) AS max_y
+  SELECT 1::BIGINT AS doc_id, page, least(h.x0, v.x0) AS min_x, least(h.y0, v.y0) AS min_y, greatest(h.x9, v.x9) AS max_x, greatest(h.y9, v.y9) AS max_y
   FROM grids JOIN (SELECT * FROM boxes WHERE axis = 'h') h USING (page) JOIN (SELECT * FROM boxes WHERE axis = 'v') v USING (page)
   WHERE h.x0 <= v.x9 AND v.x0 <= h.x9 AND h.y0 <= v.y9 AND v.y0 <= h.y9)"""
 
 _IMAGES = """b_images AS (
-  SELECT 1 AS doc_id, conv_id AS page, turn AS img_seq, CASE WHEN turn = max(turn) OVER (PARTITION BY conv_id) THEN 19 ELSE 125 END AS width,
+  SELECT 1::BIGINT AS doc_id, conv_id AS page, turn AS img_seq, CASE WHEN turn = max(turn) OVER (PARTITION BY conv_id) THEN 19 ELSE 125 END AS width,
          1078 + CASE WHEN conv_id % 5 = 0 THEN turn % 2 ELSE 0 END AS height FROM conversations)"""
 
 _OUTLINE = """RECURSIVE nodes AS (
@@ -105,7 +105,7 @@ _OUTLINE = """RECURSIVE nodes AS (
   SELECT *, 0 AS depth, [ord * 1000 + id] AS path FROM nodes WHERE parent IS NULL
   UNION ALL SELECT n.*, w.depth + 1, list_append(w.path, n.ord * 1000 + n.id) FROM nodes n JOIN walk w ON n.parent = w.id
 ), flat AS (
-  SELECT 1 AS doc_id, (row_number() OVER (ORDER BY path) - 1)::INTEGER AS entry_seq, title, page, depth, target_y FROM walk WHERE page IS NOT NULL
+  SELECT 1::BIGINT AS doc_id, (row_number() OVER (ORDER BY path) - 1)::BIGINT AS entry_seq, title, page, depth, target_y FROM walk WHERE page IS NOT NULL
 ), parts AS (
   SELECT p_partkey AS para_idx, p_partkey // 7 AS page, ((p_partkey % 7) * 90 + p_size) AS top_y FROM part
 ), targets AS (
@@ -130,7 +130,7 @@ _CJK_ROWS = _LINES + ", b_cjk AS (SELECT doc_id, page, seq, regexp_replace(trans
 
 _DOCUMENT = _NOISE + ", styled AS (SELECT *, (72 + 14 * trunc(seq / 2) + 20 * trunc(seq / 8))::FLOAT AS y, 12::FLOAT AS font_size, false AS is_bold FROM b_noise), "
 _DOCUMENT += _paras("styled", "doc_id") + ", " + _flags("paras")
-_DOCUMENT += ", kept AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY para_idx) - 1)::INTEGER AS para_idx, page, top_y, text, font_size, is_bold FROM flagged WHERE NOT is_noise)"
+_DOCUMENT += ", kept AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY para_idx) - 1)::BIGINT AS para_idx, page, top_y, text, font_size, is_bold FROM flagged WHERE NOT is_noise)"
 
 EMPTY = "未能从这份 PDF 中提取到可显示的文字或图片内容（可能是扫描图片、无文字层的 PDF）"
 ERROR = "打开 PDF 失败，请确认文件是有效的 PDF 且未加密"
@@ -150,45 +150,45 @@ ORACLE_SQL: dict[str, str] = {
     "grid_segments": f"WITH {_SEGMENTS} SELECT doc_id, page, path_seq, seg_seq, axis, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2 FROM ruled WHERE axis IS NOT NULL",
     "capped_segments": f"WITH {_SEGMENTS} SELECT doc_id, page, path_seq, seg_seq FROM b_segments WHERE path_seq * 2 <= 6",
     "table_regions": f"WITH {_SEGMENTS} SELECT doc_id, page, min_x::DOUBLE AS min_x, min_y::DOUBLE AS min_y, max_x::DOUBLE AS max_x, max_y::DOUBLE AS max_y FROM regions",
-    "lines_outside_tables": f"""WITH {_SEGMENTS} SELECT 1 AS doc_id, l_orderkey AS page, l_partkey AS seq, 'part ' || l_partkey AS text, (l_partkey % 792)::DOUBLE AS y
+    "lines_outside_tables": f"""WITH {_SEGMENTS} SELECT 1::BIGINT AS doc_id, l_orderkey AS page, l_partkey AS seq, 'part ' || l_partkey AS text, (l_partkey % 792)::DOUBLE AS y
 FROM lineitem l LEFT JOIN regions r ON r.page = l.l_orderkey
 WHERE r.page IS NULL OR NOT (l_partkey % 792 BETWEEN 792 - max_y - 6 AND 792 - min_y + 6)""",
     "crop_rects": f"""WITH {_SEGMENTS}, r AS (
   SELECT doc_id, page, least(greatest(trunc((min_x - 6) * 2), 0), 1223) AS l, least(greatest(trunc((792 - max_y - 6) * 2), 0), 1583) AS t,
          trunc((max_x + 6) * 2) AS r, trunc((792 - min_y + 6) * 2) AS b FROM regions)
-SELECT doc_id, page, l::INTEGER AS "left", t::INTEGER AS top, least(greatest(r, l + 1), 1224)::INTEGER AS "right", least(greatest(b, t + 1), 1584)::INTEGER AS bottom FROM r""",
+SELECT doc_id, page, l::BIGINT AS "left", t::BIGINT AS top, least(greatest(r, l + 1), 1224)::BIGINT AS "right", least(greatest(b, t + 1), 1584)::BIGINT AS bottom FROM r""",
     "strip_stitch": f"""WITH {_IMAGES}, s AS (SELECT page, list(width ORDER BY img_seq) AS w, list(height) AS h FROM b_images GROUP BY page)
-SELECT 1 AS doc_id, page, list_sum(w)::BIGINT AS width, h[1] AS height, len(w) AS n_strips FROM s
+SELECT 1::BIGINT AS doc_id, page, list_sum(w)::BIGINT AS width, h[1] AS height, len(w) AS n_strips FROM s
 WHERE len(w) >= 3 AND len(list_distinct(h)) = 1 AND len(list_distinct(w[1:-2])) = 1 AND w[-1] <= w[1]""",
-    "full_page_images": "SELECT 1 AS doc_id, conv_id AS page, true AS has_image, conv_id % 3 = 0 AS has_full_page_image FROM conversations GROUP BY conv_id",
-    "image_placement": f"WITH {_OUTLINE} SELECT 1 AS doc_id, page, s_suppkey AS img_seq, after_idx FROM placed",
-    "region_placement": """SELECT 1 AS doc_id, s_suppkey * 2 AS page, (s_suppkey % 500)::DOUBLE AS top_y, s_suppkey, coalesce((
+    "full_page_images": "SELECT 1::BIGINT AS doc_id, conv_id AS page, true AS has_image, conv_id % 3 = 0 AS has_full_page_image FROM conversations GROUP BY conv_id",
+    "image_placement": f"WITH {_OUTLINE} SELECT 1::BIGINT AS doc_id, page, s_suppkey AS img_seq, after_idx FROM placed",
+    "region_placement": """SELECT 1::BIGINT AS doc_id, s_suppkey * 2 AS page, (s_suppkey % 500)::DOUBLE AS top_y, s_suppkey, coalesce((
   SELECT max(p_partkey) FROM part WHERE p_partkey // 7 < s_suppkey * 2 OR (p_partkey // 7 = s_suppkey * 2 AND (p_partkey % 7) * 90 + p_size < s_suppkey % 500)), -1) AS after_idx
 FROM supplier""",
-    "outline_flat": f"WITH {_OUTLINE} SELECT doc_id, entry_seq, title, page, depth, target_y FROM flat",
-    "outline_targets": f"WITH {_OUTLINE} SELECT doc_id, entry_seq, title, page, depth, target_y, para_idx FROM targets",
+    "outline_flat": f"WITH {_OUTLINE} SELECT doc_id, entry_seq, title, page::BIGINT AS page, depth::BIGINT AS depth, target_y FROM flat",
+    "outline_targets": f"WITH {_OUTLINE} SELECT doc_id, entry_seq, title, page::BIGINT AS page, depth::BIGINT AS depth, target_y, para_idx FROM targets",
     "outline_blocks": f"WITH {_OUTLINE} SELECT doc_id, entry_seq, para_idx, para_idx + (SELECT count(*) FROM placed WHERE after_idx < t.para_idx) AS block_idx FROM targets t",
     "outline_labels": f"WITH {_OUTLINE} SELECT entry_seq, repeat(chr(12288), depth) || title AS label FROM flat",
     "blocks": f"""WITH {_STYLE}, {_paras('b_style', 'doc_id, page')}, {_HEADINGS}, everything AS (
   SELECT doc_id, page, para_idx AS place, 0 AS rank, 0 AS n, 'text' AS kind, text, is_heading, NULL AS image_ref FROM headed WHERE NOT (page % 10 = 0 AND page % 4 <> 0)
-  UNION ALL SELECT source, doc_id, doc_id % 3 - 1, 1, 0, 'image', NULL, NULL, 'table' FROM documents WHERE doc_id % 4 = 0
-  UNION ALL SELECT source, doc_id, 2147483647, 2, k, 'image', NULL, NULL, k::VARCHAR FROM documents, (VALUES (0), (1)) v(k) WHERE doc_id % 4 = 2)
-SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY place, rank, n) - 1)::INTEGER AS block_idx, kind, text, is_heading, image_ref FROM everything""",
+  UNION ALL SELECT source, doc_id, doc_id % 3 - 1, 1, 0, 'image', NULL, false, 'table' FROM documents WHERE doc_id % 4 = 0
+  UNION ALL SELECT source, doc_id, 2147483647, 2, k, 'image', NULL, false, k::VARCHAR FROM documents, (VALUES (0), (1)) v(k) WHERE doc_id % 4 = 2)
+SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY place, rank, n) - 1)::BIGINT AS block_idx, kind, text, is_heading, image_ref FROM everything""",
     "extract_document": f"WITH {_DOCUMENT} SELECT doc_id, para_idx, page, top_y, text, font_size, is_bold FROM kept",
-    "document_images": f"""WITH {_DOCUMENT} SELECT source AS doc_id, doc_id AS page, 0 AS kind,
+    "document_images": f"""WITH {_DOCUMENT} SELECT source AS doc_id, doc_id AS page, 0::BIGINT AS kind,
   coalesce((SELECT max(para_idx) FROM kept k WHERE k.doc_id = d.source AND k.page <= d.doc_id), -1) AS after_idx FROM documents d WHERE doc_id % 5 = 0""",
-    "line_width": "SELECT p_partkey, CASE WHEN p_size - 5 <= 0 THEN 30 ELSE greatest(trunc(p_partkey * 3 / (p_size - 5)), 10) END::INTEGER AS chars FROM part",
+    "line_width": "SELECT p_partkey, CASE WHEN p_size - 5 <= 0 THEN 30 ELSE greatest(trunc(p_partkey * 3 / (p_size - 5)), 10) END::BIGINT AS chars FROM part",
     "subsampling": """SELECT p_partkey, (SELECT min(f) FROM (VALUES (1), (2), (4), (8), (16), (32), (64)) v(f)
-  WHERE greatest(p_partkey * 17 % 70000 + 1, p_size * 91) // f <= 2000) AS factor FROM part""",
+  WHERE greatest(p_partkey * 17 % 70000 + 1, p_size * 91) // f <= 2000)::BIGINT AS factor FROM part""",
     "orientation": """SELECT p_partkey, m[1]::DOUBLE AS m00, m[2]::DOUBLE AS m01, m[3]::DOUBLE AS m10, m[4]::DOUBLE AS m11,
   (w / 2 - (m[1] * w / 2 + m[2] * w))::DOUBLE AS dx, (w - (m[3] * w / 2 + m[4] * w))::DOUBLE AS dy
 FROM (SELECT p_partkey, p_size AS w, CASE p_partkey % 9 WHEN 1 THEN [-1, 0, 0, 1] WHEN 2 THEN [1, 0, 0, -1] WHEN 3 THEN [-1, 0, 0, -1]
   WHEN 4 THEN [0, -1, -1, 0] WHEN 5 THEN [0, -1, 1, 0] WHEN 6 THEN [0, 1, -1, 0] WHEN 7 THEN [0, 1, 1, 0] END AS m FROM part)""",
-    "component_infer": """SELECT p_partkey, CASE WHEN bits NOT BETWEEN 1 AND 16 OR w <= 0 OR h <= 0 THEN NULL
-  WHEN reported = 3 AND ((w * 3 * bits + 7) // 8) * h = n THEN 3 WHEN ((w * bits + 7) // 8) * h = n THEN 1 WHEN ((w * 3 * bits + 7) // 8) * h = n THEN 3 END AS components
+    "component_infer": """SELECT p_partkey, CASE WHEN bits NOT BETWEEN 1 AND 16 OR w <= 0 OR h <= 0 THEN -1
+  WHEN reported = 3 AND ((w * 3 * bits + 7) // 8) * h = n THEN 3 WHEN ((w * bits + 7) // 8) * h = n THEN 1 WHEN ((w * 3 * bits + 7) // 8) * h = n THEN 3 ELSE -1 END::BIGINT AS components
 FROM (SELECT p_partkey, p_size AS w, p_partkey % 11 AS h, p_partkey % 18 AS bits, p_partkey % 5 AS reported,
   ((p_size * CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 3 END * (p_partkey % 18) + 7) // 8) * (p_partkey % 11) AS n FROM part)""",
-    "jpeg_components": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS components FROM part",
+    "jpeg_components": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE -1 END::BIGINT AS components FROM part",
     "raw_decode": """SELECT p_partkey, upper(string_agg(repeat(substr(s, 2 * i + 1, 2), 3), '' ORDER BY i)) AS rgb,
   upper(string_agg(repeat(substr(s, 2 * (31 - ((i % 8) * 4 + i // 8)) + 1, 2), 3), '' ORDER BY i)) AS turned
 FROM (SELECT p_partkey, sha256(p_partkey::VARCHAR) AS s FROM part), range(32) r(i) GROUP BY p_partkey""",
@@ -196,13 +196,13 @@ FROM (SELECT p_partkey, sha256(p_partkey::VARCHAR) AS s FROM part), range(32) r(
     "progress_upsert": """WITH u AS (SELECT user_id::VARCHAR AS k, arg_max(event_id % 7 - 1, event_id) AS page FROM events WHERE event_id % 3 <> 0 GROUP BY 1),
 s AS (SELECT DISTINCT user_id::VARCHAR AS k FROM events)
 SELECT k AS file_key, greatest(coalesce(u.page, 5), 1) AS page FROM s LEFT JOIN u USING (k) UNION ALL SELECT 'old' || k, 5 FROM s""",
-    "settings_clamp": """SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 16 ELSE least(greatest(p_size, 12), 32) END AS font_size,
-  least(greatest((p_size / 16)::FLOAT, 1), 2)::DOUBLE AS line_spacing, least(greatest(p_size - 10, 8), 32) AS padding,
+    "settings_clamp": """SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 16 ELSE least(greatest(p_size, 12), 32) END::BIGINT AS font_size,
+  least(greatest((p_size / 16)::FLOAT, 1), 2)::DOUBLE AS line_spacing, least(greatest(p_size - 10, 8), 32)::BIGINT AS padding,
   least(greatest(p_partkey % 60 - 10, 0), 32) AS block_spacing FROM part""",
     "load_state": f"""SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 AND p_size > 5 THEN 'success' ELSE 'error' END AS state,
-  CASE WHEN p_partkey % 4 <> 0 AND p_size > 5 THEN p_size - 5 END AS page_count,
+  CASE WHEN p_partkey % 4 <> 0 AND p_size > 5 THEN p_size - 5 ELSE 0 END::BIGINT AS page_count,
   CASE WHEN p_partkey % 4 = 0 THEN CASE WHEN p_partkey % 3 = 2 THEN p_name ELSE '{ERROR}' END WHEN p_size <= 5 THEN '{EMPTY}' END AS message FROM part""",
-    "slider_maps": """SELECT p_partkey, (floor((p_partkey % 101) / 100 * (p_size - 1) + 0.5) + 1)::INTEGER AS page,
-  least(greatest(trunc(((p_size % 11) / 8)::FLOAT / 0.1::FLOAT), 0), 10)::INTEGER AS progress FROM part""",
+    "slider_maps": """SELECT p_partkey, (floor((p_partkey % 101) / 100 * (p_size - 1) + 0.5) + 1)::BIGINT AS page,
+  least(greatest(trunc(((p_size % 11) / 8)::FLOAT / 0.1::FLOAT), 0), 10)::BIGINT AS progress FROM part""",
     "view_uris": "SELECT event_id, CASE WHEN upper(event_type) = 'VIEW' THEN props END AS uri FROM events",
 }

@@ -1,7 +1,8 @@
-"""The registered queries: operators over the derived frames. Floats leave as doubles."""
+"""The registered queries: operators over the derived frames."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +17,20 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+_WIDE = {"float": "double", "int": "bigint"}
+
+
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
-    return f
+    """Registers a query; numbers leave it in their wide types."""
 
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = f(spark, sf_dir)
+        kinds = {c.name: c.dataType.simpleString() for c in df.schema}
+        return df.select(*(F.col(c).cast(_WIDE.get(k, k)).alias(c) if k in _WIDE else F.col(c) for c, k in kinds.items()))
 
-def _doubles(df: DataFrame) -> DataFrame:
-    return df.select(*(F.col(f.name).cast("double").alias(f.name) if f.dataType.simpleString() == "float" else F.col(f.name) for f in df.schema))
+    QUERIES[f.__name__] = run
+    return run
 
 
 @query
@@ -48,17 +56,17 @@ def clean_lines_page_mode(spark, sf):
 
 @query
 def merged_lines(spark, sf):
-    return _doubles(paragraphs.merge_runs(frames.styled_frame(spark, sf)))
+    return paragraphs.merge_runs(frames.styled_frame(spark, sf))
 
 
 @query
 def paragraphs_doc(spark, sf):
-    return _doubles(paragraphs.paragraphs(frames.styled_frame(spark, sf), "document"))
+    return paragraphs.paragraphs(frames.styled_frame(spark, sf), "document")
 
 
 @query
 def paragraphs_page(spark, sf):
-    return _doubles(paragraphs.paragraphs(frames.styled_frame(spark, sf), "page"))
+    return paragraphs.paragraphs(frames.styled_frame(spark, sf), "page")
 
 
 @query
@@ -86,7 +94,7 @@ def radical_fix(spark, sf):
 @query
 def grid_segments(spark, sf):
     found = tables.ruled_segments(tables.capped_segments(frames.segment_frame(spark, sf)), frames.segment_pages(spark, sf))
-    return _doubles(found.select("doc_id", "page", "path_seq", "seg_seq", "axis", "x1", "y1", "x2", "y2"))
+    return found.select("doc_id", "page", "path_seq", "seg_seq", "axis", "x1", "y1", "x2", "y2")
 
 
 @query
@@ -97,14 +105,14 @@ def capped_segments(spark, sf):
 
 @query
 def table_regions(spark, sf):
-    return _doubles(tables.table_regions(frames.segment_frame(spark, sf), frames.segment_pages(spark, sf)))
+    return tables.table_regions(frames.segment_frame(spark, sf), frames.segment_pages(spark, sf))
 
 
 @query
 def lines_outside_tables(spark, sf):
     pages = frames.segment_pages(spark, sf)
     regions = tables.table_regions(frames.segment_frame(spark, sf), pages)
-    return _doubles(tables.outside_tables(frames.table_line_frame(spark, sf), regions, pages))
+    return tables.outside_tables(frames.table_line_frame(spark, sf), regions, pages)
 
 
 @query
@@ -137,17 +145,17 @@ def image_placement(spark, sf):
 @query
 def region_placement(spark, sf):
     regions = frames.read(spark, sf, "supplier").selectExpr("1L AS doc_id", "s_suppkey", "int(s_suppkey * 2) AS page", "float(s_suppkey % 500) AS top_y")
-    return _doubles(placement.place_regions(regions, frames.part_paragraphs(spark, sf)))
+    return placement.place_regions(regions, frames.part_paragraphs(spark, sf))
 
 
 @query
 def outline_flat(spark, sf):
-    return _doubles(outline.flatten(frames.outline_nodes(spark, sf)))
+    return outline.flatten(frames.outline_nodes(spark, sf))
 
 
 @query
 def outline_targets(spark, sf):
-    return _doubles(outline.to_paragraphs(outline.flatten(frames.outline_nodes(spark, sf)), frames.part_paragraphs(spark, sf)))
+    return outline.to_paragraphs(outline.flatten(frames.outline_nodes(spark, sf)), frames.part_paragraphs(spark, sf))
 
 
 @query
@@ -172,13 +180,13 @@ def blocks(spark, sf):
     tabled = docs.where("page % 4 = 0").select("doc_id", "page", F.expr("int(page % 3) - 1").alias("after_idx"))
     images = docs.where("page % 2 = 0").select("doc_id", "page", F.explode(F.array(F.lit(0), F.lit(1))).alias("img_seq"))
     full = docs.where("page % 10 = 0")
-    return placement.blocks(texts, tabled, images, full)
+    return placement.blocks(texts, tabled, images, full).withColumn("is_heading", F.coalesce("is_heading", F.lit(False)))
 
 
 @query
 def extract_document(spark, sf):
     """Document mode from lines to cleaned and numbered paragraphs, with the noise rows among the lines."""
-    return _doubles(_document(spark, sf)[0])
+    return _document(spark, sf)[0]
 
 
 def _document(spark, sf):
@@ -218,7 +226,7 @@ def orientation(spark, sf):
         f"float(case when {k} in (0, 1) then 100 when {k} in (2, 3) then -100 when {k} = 8 then 70 else 0 end) AS d", "p_size AS w", "p_size * 2 AS h",
     )
     m = geometry.orientation(*(F.col(c) for c in "abcdwh"))
-    return _doubles(p.select("p_partkey", m.alias("m")).select("p_partkey", "m.*"))
+    return p.select("p_partkey", m.alias("m")).select("p_partkey", "m.*")
 
 
 @query
@@ -227,7 +235,8 @@ def component_infer(spark, sf):
         "p_partkey", "p_size AS w", "int(p_partkey % 11) AS h", "int(p_partkey % 18) AS bits", "int(p_partkey % 5) AS reported",
         "((p_size * if(p_partkey % 2 = 0, 1, 3) * (p_partkey % 18) + 7) div 8) * (p_partkey % 11) AS n_bytes",
     )
-    return p.select("p_partkey", binary.inferred_components(*(F.col(c) for c in ("w", "h", "bits", "reported", "n_bytes"))).alias("components"))
+    found = binary.inferred_components(*(F.col(c) for c in ("w", "h", "bits", "reported", "n_bytes")))
+    return p.select("p_partkey", F.coalesce(found, F.lit(-1)).alias("components"))
 
 
 @query
@@ -235,7 +244,7 @@ def jpeg_components(spark, sf):
     """Built headers: a comment segment, then a frame that names p_size components."""
     tail = F.lpad(F.hex("p_size"), 2, "0")
     head = F.concat(F.lit("FFD8FFFE0004ABCDFF"), F.when(F.col("p_partkey") % 2 == 0, "C0").otherwise("C4"), F.lit("00110800010001"), tail)
-    return frames.read(spark, sf, "part").select("p_partkey", binary.jpeg_components(F.unhex(head)).alias("components"))
+    return frames.read(spark, sf, "part").select("p_partkey", F.coalesce(binary.jpeg_components(F.unhex(head)), F.lit(-1)).alias("components"))
 
 
 @query
@@ -271,13 +280,15 @@ def settings_clamp(spark, sf):
     s = frames.read(spark, sf, "part").selectExpr(
         "p_partkey", "if(p_partkey % 6 = 0, null, p_size) AS font_size", "float(p_size / 16) AS line_spacing", "int(p_size - 10) AS padding", "int(p_partkey % 60) - 10 AS block_spacing"
     )
-    return _doubles(store.clamp_settings(s))
+    return store.clamp_settings(s)
 
 
 @query
 def load_state(spark, sf):
     p = frames.read(spark, sf, "part").selectExpr("p_partkey", "int(p_size - 5) AS pages", "case p_partkey % 3 when 0 then null when 1 then ' ' else p_name end AS error", "p_partkey % 4 = 0 AS failed")
-    return p.select("p_partkey", store.load_state(F.col("pages"), F.col("error"), F.col("failed")).alias("s")).select("p_partkey", "s.*")
+    return p.select("p_partkey", store.load_state(F.col("pages"), F.col("error"), F.col("failed")).alias("s")).select(
+        "p_partkey", "s.state", F.coalesce("s.page_count", F.lit(0)).alias("page_count"), "s.message"
+    )
 
 
 @query
