@@ -39,13 +39,17 @@ _NEVER = frozenset(
     "head nav header footer aside form button select option datalist dialog menu svg math canvas object video audio "
     "map script style textarea title noscript iframe template noframes xmp".split()
 )
-_NEVER_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo|banner|nav|navbar|navigation|menu|sidebar|"
-    r"side-bar|footer|header|masthead|breadcrumbs?|cookies?|consent|notice|notification|popup|modal|overlay|newsletter|"
-    r"subscribe|share|sharing|social|related|recommended|comments?|disqus|replies|widget|toolbar|pagination|pager|"
-    r"login|signup|search|skip-link|contentinfo|complementary|alert)(?:$|[\s_-])",
-    re.I,
+# fixed values: names that sites give to what is no main text, alone or with a part before or after a dash
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo banner nav navbar navigation menu sidebar "
+    "footer header masthead breadcrumb breadcrumbs cookie cookies consent notice notification popup modal overlay newsletter subscribe "
+    "share sharing social related recommended comment comments disqus replies widget toolbar pagination pager login signup search "
+    "contentinfo complementary alert".split()
 )
+#: Of these, what an <article> can be named without being the main one.
+_ASIDE_ARTICLES = frozenset("ad ads advert sponsored promo related recommended comment comments replies".split())
+#: Parts that only say whether or where something is shown.
+_STATES = frozenset("has no not with without is show hide hidden enabled disabled left right open closed".split())
 _CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
@@ -59,6 +63,19 @@ _TOKEN = re.compile(
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+def _named_aside(tag: str, attrs: str) -> bool:
+    """Whether class, id or role name an element as no main text, word for word: "site-footer" does, "has-sidebar" does not."""
+    if tag in ("html", "body", "main"):
+        return False
+    names = _ASIDE_ARTICLES if tag == "article" else _NAMES
+    for values in map(re.Match.groups, _NAMED.finditer(attrs)):
+        for token in next(v for v in values if v is not None).lower().split():
+            parts = re.split("[-_]+", token)
+            if (parts[0] in names or parts[-1] in names) and not _STATES & set(parts):
+                return True
+    return False
+
+
 @dataclass
 class _Open:
     tag: str
@@ -151,11 +168,9 @@ def parse(page: str | None, hashed: bool = True) -> Parsed:
                     close(1)
         top = stack[-1]
         main = top.main or tag in ("article", "main")
-        has_main = has_main or (main and not top.skipped)
-        named = tag not in ("html", "body", "article", "main") and any(
-            _NEVER_NAMED.search(next(v for v in a if v is not None)) for a in map(re.Match.groups, _NAMED.finditer(m["attrs"]))
-        )
+        named = "=" in m["attrs"] and _named_aside(tag, m["attrs"])
         node = _Open(tag, top.skipped or tag in _NEVER or named, main, top.first)
+        has_main = has_main or (main and not node.skipped)
         if hashed and block and not main and not node.skipped and tag not in ("html", "body"):
             node.digest = xxhash.xxh64(f"<{tag}")
             node.first = len(subtrees)

@@ -17,6 +17,8 @@ def test_structure():
         'plain &eacute; <!-- c --> <script>var a="</p>";</script> ok': "plain é ok",
         "<article>a<aside>b</aside><form>c</form><div class='user-comments'>d</div><style>e</style>f</article>g": "a f",
         "<article><p>a b\n\t c</p><!-- <p>x</p> --><ul><li>1<li>2</ul></article>": "a b c 1 2",
+        "<div class='content has-sidebar'>a<div id='site-footer'>b</div><div class='post no_comments'>c</div></div>": "a c",
+        "<article class='post'>a<article class='comment'>b</article></article><article class=comment>c</article>": "a",
         "": "", "<article></article>": "", "<p>un<i>cl</b>osed <img alt='x>y'> tail": "unclosed tail",
     }
     for page, want in cases.items():
