@@ -54,6 +54,12 @@ def inferred_components(width: Column, height: Column, bits: Column, reported: C
     return F.when(ok & (reported == 3) & fits(3), 3).when(ok & fits(1), 1).when(ok & fits(3), 3)
 
 
+def decode_route(bits: Column, suffix: Column, factor: Column, components: Column) -> Column:
+    """How an image is to be decoded: "raw" for depths other than 1 and 8, "subsampled" for large three-component JPEGs, else "library"."""
+    fast = (suffix == "jpg") & (factor > 1) & F.coalesce(components == 3, F.lit(False))
+    return F.when(~bits.isin(1, 8), "raw").when(fast, "subsampled").otherwise("library")
+
+
 def decode_samples(data: bytes, width: int, height: int, bits: int, components: int) -> np.ndarray:
     """Pixels as uint8 (height, width, 3), samples scaled to 0..255 by whole division."""
     per_row = (width * components * bits + 7) // 8

@@ -132,6 +132,24 @@ _DOCUMENT = _NOISE + ", styled AS (SELECT *, (72 + 14 * trunc(seq / 2) + 20 * tr
 _DOCUMENT += _paras("styled", "doc_id") + ", " + _flags("paras")
 _DOCUMENT += ", kept AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY para_idx) - 1)::BIGINT AS para_idx, page, top_y, text, font_size, is_bold FROM flagged WHERE NOT is_noise)"
 
+_PAGE_BLOCKS = (
+    _NOISE
+    + ", styled AS (SELECT *, (72 + 14 * trunc(seq / 2) + 20 * trunc(seq / 8))::FLOAT AS y, 12::FLOAT AS font_size, seq = 1 AS is_bold FROM b_noise), "
+    + _paras("styled", "doc_id, page")
+    + f", {_HEADINGS}, {_flags('b_noise', 'page <= 150')}"
+    + r""", pt AS (
+  SELECT *, regexp_replace(text, '^[\p{Z}\t-\r\x1c-\x1f]+|[\p{Z}\t-\r\x1c-\x1f]+$', '', 'g') AS tt FROM headed
+), pl AS (
+  SELECT *, regexp_full_match(tt, 'https?://\S+') OR regexp_full_match(tt, '\d{4}/\d{1,2}/\d{1,2}\s+\d{1,2}:\d{2}(:\d{2})?')
+         OR regexp_full_match(tt, 'https?://\S+\s+\d+/\d+') AS marks FROM pt
+), pf AS (
+  SELECT l.*, marks OR (regexp_full_match(tt, '\d+/\d+') AND bool_or(marks) OVER (PARTITION BY doc_id, page))
+         OR EXISTS (SELECT 1 FROM titles x WHERE x.doc_id = l.doc_id AND x.title = l.tt) AS is_noise FROM pl l
+), everything AS (
+  SELECT doc_id, page, para_idx AS place, 'text' AS kind, text, is_heading, NULL AS image_ref FROM pf WHERE NOT is_noise AND page % 10 <> 0
+  UNION ALL SELECT source, doc_id, 2147483647, 'image', NULL, false, '0' FROM documents WHERE doc_id % 5 = 0)"""
+)
+
 EMPTY = "未能从这份 PDF 中提取到可显示的文字或图片内容（可能是扫描图片、无文字层的 PDF）"
 ERROR = "打开 PDF 失败，请确认文件是有效的 PDF 且未加密"
 
@@ -204,5 +222,10 @@ SELECT k AS file_key, greatest(coalesce(u.page, 5), 1) AS page FROM s LEFT JOIN
   CASE WHEN p_partkey % 4 = 0 THEN CASE WHEN p_partkey % 3 = 2 THEN p_name ELSE '{ERROR}' END WHEN p_size <= 5 THEN '{EMPTY}' END AS message FROM part""",
     "slider_maps": """SELECT p_partkey, (floor((p_partkey % 101) / 100 * (p_size - 1) + 0.5) + 1)::BIGINT AS page,
   least(greatest(trunc(((p_size % 11) / 8)::FLOAT / 0.1::FLOAT), 0), 10)::BIGINT AS progress FROM part""",
+    "page_blocks": f"""WITH {_PAGE_BLOCKS} SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY place) - 1 AS block_idx, kind, text, is_heading, image_ref
+FROM everything""",
+    "decode_routes": """SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN 'raw'
+  WHEN p_partkey % 2 = 0 AND greatest(p_partkey * 17 % 70000 + 1, p_size * 91) > 2000
+       AND p_partkey % 5 = 3 THEN 'subsampled' ELSE 'library' END AS route FROM part""",
     "view_uris": "SELECT event_id, CASE WHEN upper(event_type) = 'VIEW' THEN props END AS uri FROM events",
 }

@@ -255,6 +255,30 @@ def raw_decode(spark, sf):
     return frames.read(spark, sf, "part").select("p_partkey", F.hex(pixels).alias("rgb"), F.hex(turned).alias("turned"))
 
 
+@query
+def decode_routes(spark, sf):
+    p = frames.read(spark, sf, "part").selectExpr(
+        "p_partkey", "element_at(array(1, 8, 4), int(p_partkey % 3 + 1)) AS bits", "if(p_partkey % 2 = 0, 'jpg', 'png') AS suffix",
+        "int(p_partkey * 17 % 70000 + 1) AS w", "int(p_size * 91) AS h", "if(p_partkey % 5 = 0, null, int(p_partkey % 5)) AS components",
+    )
+    factor = geometry.subsampling(F.col("w"), F.col("h"))
+    return p.select("p_partkey", binary.decode_route(F.col("bits"), F.col("suffix"), factor, F.col("components")).alias("route"))
+
+
+@query
+def page_blocks(spark, sf):
+    """Page mode from lines to display blocks; full pages of image on every tenth page, a small one on other fifths."""
+    lines = frames.noise_frame(spark, sf)
+    y = F.expr("72 + 14 * (seq div 2) + 20 * (seq div 8)").cast("float")
+    lines = lines.withColumn("y", y).withColumn("font_size", F.lit(12.0).cast("float")).withColumn("is_bold", F.col("seq") == 1)
+    pages = frames.read(spark, sf, "documents").selectExpr("source AS doc_id", "doc_id AS page", "612f AS width", "792f AS height")
+    segments = frames.segment_frame(spark, sf).where("false").withColumn("doc_id", F.lit("none"))
+    ctm = "named_struct('a', float(if(page % 10 = 0, 600, 10)), 'd', float(if(page % 10 = 0, 700, 10))) AS ctm"
+    images = pages.where("page % 5 = 0").selectExpr("doc_id", "page", "0 AS img_seq", ctm)
+    found = documents.page_blocks(lines, segments, images, pages)
+    return found.withColumn("is_heading", F.coalesce("is_heading", F.lit(False)))
+
+
 @query
 def reflow_lines(spark, sf):
     lines = frames.line_frame(spark, sf).select("doc_id", "page", "seq", F.posexplode(reflow.reflow(F.col("text"), 40)).alias("line_no", "line"))

@@ -108,3 +108,23 @@ def test_states_and_keys(spark):
     assert got == [("success", 3, None), ("error", None, store.EMPTY_MESSAGE), ("error", None, store.ERROR_MESSAGE), ("error", None, "bad")]
     assert one(spark, store.content_key(F.lit(bytearray(b"abc")))) == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
     assert one(spark, store.view_uri(F.lit("VIEW"), F.lit("u"))) == "u" and one(spark, store.view_uri(F.lit("EDIT"), F.lit("u"))) is None
+
+
+def test_files(spark, tmp_path):
+    from quire.sources import files
+
+    (tmp_path / "a.pdf").write_bytes(b"abc")
+    (tmp_path / "b.txt").write_bytes(b"x")
+    rows = files.binary_files(spark, str(tmp_path), "*.pdf").collect()
+    assert [(r.length, r.file_key[:8], bytes(r.content)) for r in rows] == [(3, "ba7816bf", b"abc")]
+    df = spark.createDataFrame([(1, 3), (2, None)], "i int, n int")
+    assert [r.status for r in files.failed_rows(df, "n").orderBy("i").collect()] == ["ok", "failed"]
+
+
+def test_decode_route(spark):
+    def route(bits, suffix, factor, n):
+        return one(spark, binary.decode_route(F.lit(bits), F.lit(suffix), F.lit(factor), F.lit(n).cast("int")))
+
+    assert [route(4, "jpg", 2, 3), route(8, "jpg", 2, 3), route(8, "jpg", 2, 4), route(8, "jpg", 1, 3), route(8, "png", 2, 3), route(8, "jpg", 2, None)] == [
+        "raw", "subsampled", "library", "library", "library", "library"
+    ]
