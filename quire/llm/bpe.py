@@ -31,7 +31,7 @@ from quire.llm.wordcache import as_bytes, encode_all, load
 FREQUENT_WORDS = 250_000
 SAMPLE_DOCS = 30_000
 #: A batch ends at so many characters.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 8_000_000
 #: Closing punctuation that is cut off a word.
 _TAIL = ".,!?;:%&*$#|"
 # fixed values: Unicode's white space
@@ -62,7 +62,7 @@ def cut_word(word: str) -> tuple[str, ...]:
 
 
 def frequent_words(sample: DataFrame, tokenizer: str, most: int) -> list[tuple[str, bytes]]:
-    """(word, ids) of at most ``most`` words of column _text, the most frequent, ties by name; encoded once each."""
+    """(word, ids) of at most ``most`` words of column _text, the most frequent first, ties by name; encoded once each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         specials, seen = _specials(tokenizer), Counter()
@@ -83,21 +83,21 @@ def frequent_words(sample: DataFrame, tokenizer: str, most: int) -> list[tuple[s
 
     counts = sample.select("_text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most)
-    ids = top.repartition(TOP_PARTS, "word").select("word").mapInArrow(_encode_runs(tokenizer, 0), "word string, ids binary")
-    return sorted((r.word, bytes(r.ids)) for r in ids.collect())
+    ids = top.repartition(TOP_PARTS, "word").mapInArrow(_encode_runs(tokenizer, "word"), "word string, n long, ids binary")
+    return [(r.word, bytes(r.ids)) for r in sorted(ids.collect(), key=lambda r: (-r.n, r.word))]
 
 
 #: Tasks that encode the frequent words.
 TOP_PARTS = 8
 
 
-def _encode_runs(tokenizer: str, word_at: int):
-    """Adds ids to rows that are sorted by word: a run of one word is encoded once. Drops the word column if others are there."""
+def _encode_runs(tokenizer: str, word_col: str, drop: bool = False):
+    """Adds ids to rows that are sorted by a word column, which ``drop`` leaves out: a run of one word is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_ids = None, b""
         for b in batches:
-            words = b.column(word_at).to_pylist()
+            words = b.column(word_col).to_pylist()
             fresh = [w for before, w in zip([last, *words], words) if w != before]
             ids: dict[str, bytes] = {last: last_ids}
             for at in range(0, len(fresh), 4096):
@@ -105,8 +105,8 @@ def _encode_runs(tokenizer: str, word_at: int):
                 ids.update(zip(some, as_bytes(encode_all(tokenizer, some))))
             if words:
                 last, last_ids = words[-1], ids[words[-1]]
-            others = [(n, b.column(i)) for i, n in enumerate(b.schema.names) if i != word_at] or [("word", b.column(word_at))]
-            yield pa.RecordBatch.from_arrays([c for _, c in others] + [pa.array([ids[w] for w in words], pa.binary())], [n for n, _ in others] + ["ids"])
+            kept = [n for n in b.schema.names if not (drop and n == word_col)]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array([ids[w] for w in words], pa.binary())], [*kept, "ids"])
 
     return run
 
@@ -174,8 +174,8 @@ def encode(
     sent = docs.sparkSession.sparkContext.broadcast(({w: i for i, (w, _) in enumerate(top)}, [ids for _, ids in top]))
 
     def skeleton(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per batch: references to words, compressed by byte planes."""
-        pack = zstandard.ZstdCompressor(level=1)
+        """A row per batch: references to words, compressed by byte planes; those of frequent words are small numbers."""
+        pack = zstandard.ZstdCompressor(level=3)
         for key, ids, texts in _batches(batches):
             refs, sizes, _ = refer(texts, sent.value[0], _specials(tokenizer))
             planes = refs.view(np.uint8).reshape(-1, 4).T.tobytes()
@@ -205,7 +205,7 @@ def encode(
     parts = src.mapInArrow(skeleton, f"key binary, row_ids array<{kind}>, sizes array<int>, refs binary")
     rare = src.mapInArrow(others, "other_key binary, at int, other string")
     # a word is in a batch once, and its rows only stream through, so a word that many batches ask for is no burden
-    found = rare.repartition("other").sortWithinPartitions("other").mapInArrow(_encode_runs(tokenizer, 2), "other_key binary, at int, ids binary")
+    found = rare.repartition("other").sortWithinPartitions("other").mapInArrow(_encode_runs(tokenizer, "other", drop=True), "other_key binary, at int, ids binary")
     # a batch's own words are fewer than its characters, which are bounded
     by_batch = found.groupBy("other_key").agg(F.collect_list(F.struct("at", "ids")).alias("others"))
     whole = parts.join(by_batch, F.col("key") == F.col("other_key"), "left").select("row_ids", "sizes", "refs", "others")
