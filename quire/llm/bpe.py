@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from quire.llm.wordcache import as_bytes, encode_all, load
 FREQUENT_WORDS = 250_000
 SAMPLE_DOCS = 30_000
 #: A batch ends at so many characters.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 6_000_000
 #: Closing punctuation that is cut off a word.
 _TAIL = ".,!?;:%&*$#|"
 # fixed values: Unicode's white space
@@ -114,26 +115,27 @@ def _encode_runs(tokenizer: str, word_col: str, drop: bool = False):
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, pa.Array, list[str | None]]]:
     """(key, ids, texts). The key is a hash of the batch's ids and texts."""
     for whole in batches:
-        texts, at = whole.column(1).to_pylist(), 0
-        while at < len(texts):
-            end, chars = at, 0
+        at = 0
+        while at < whole.num_rows:
+            # only a batch's texts are held as Python strings
+            texts, chars = [], 0
             h = xxhash.xxh3_128()
-            while end < len(texts) and chars < BATCH_CHARS:
-                t = texts[end]
+            while at + len(texts) < whole.num_rows and chars < BATCH_CHARS:
+                t = whole.column(1)[at + len(texts)].as_py()
                 chars += len(t or "")
                 h.update(b"\0" if t is None else b"\1" + t.encode("utf-8", "surrogatepass") + b"\0")
-                end += 1
-            ids = whole.column(0).slice(at, end - at)
+                texts.append(t)
+            ids = whole.column(0).slice(at, len(texts))
             h.update(repr(ids.to_pylist()))
-            yield h.digest(), ids, texts[at:end]
-            at = end
+            yield h.digest(), ids, texts
+            at += len(texts)
 
 
 def refer(texts: list[str | None], places: dict[str, int], specials: tuple[str, ...]) -> tuple[np.ndarray, list[int], dict[str, int]]:
     """References of all texts' words, how many each text has, and the batch's own words with their references, which follow ``places``."""
     own: dict[str, int] = {}
     cuts: dict[str, list[int]] = {}
-    refs: list[int] = []
+    refs = array("I")
     sizes: list[int] = []
     for text in texts:
         before = len(refs)
@@ -151,9 +153,9 @@ def refer(texts: list[str | None], places: dict[str, int], specials: tuple[str,
                         for part in (cut_word(w) if len(words) > 1 else (w,))
                         for p in (places.get(part),)
                     ]
-                refs += parts
+                refs.extend(parts)
         else:
-            refs += found
+            refs.extend(found)
         sizes.append(len(refs) - before)
     return np.array(refs, dtype="<u4"), sizes, own
 
