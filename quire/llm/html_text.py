@@ -1,17 +1,18 @@
 """Main text of web pages, with site templates found by counting element subtrees.
 
 Every page is read once as a stream of tags. Elements that never hold main text (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, comments) are left out by tag, role or class. What lies outside the page's
-article is also hashed, subtree by subtree. The hashes are counted per host in Spark over pages with different
-bodies, and a subtree that recurs on many of them is a template of the site and is deleted. Text inside an
-<article> or <main> is the page's own, however often it is copied, and is never deleted by count.
+notices, adverts, forms, scripts, styles, comments) are left out by tag, role or class. The rest is hashed, subtree by
+subtree, on every page. The hashes are counted per host in Spark over pages with different bodies, and a subtree that
+recurs on many of them is a template of the site and is deleted. Inside an <article> or <main> only boxes can be
+templates, counted over different articles; the article itself and its paragraphs are the page's own, however often
+they are copied. An article is the main text if it holds a fair share of what is left; otherwise all that is left is.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -25,6 +26,8 @@ from quire.llm.common import cut_lineage
 MIN_PAGES = 5
 #: ... and on at least this share of them.
 MIN_SHARE = 0.2
+#: Share of the text left that an <article> or <main> must hold to be the main text.
+MAIN_SHARE = 0.2
 #: Templates up to which the table is sent to every task; above, pages look theirs up by a join.
 MAX_BROADCAST = 100_000
 
@@ -50,6 +53,8 @@ _NAMES = frozenset(
 _ASIDE_ARTICLES = frozenset("ad ads advert sponsored promo related recommended comment comments replies".split())
 #: Parts that only say whether or where something is shown.
 _STATES = frozenset("has no not with without is show hide hidden enabled disabled left right open closed".split())
+#: What can be a template inside an <article> or <main>.
+_BOXES = frozenset("div section ul ol dl table figure details fieldset".split())
 _CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
@@ -87,18 +92,44 @@ class _Open:
 
 @dataclass
 class Parsed:
-    """blocks: (text, in main, innermost hashed subtree or -1); subtrees: (hash, parent)."""
+    """blocks: (text, in main, innermost hashed subtree or -1); subtrees: (hash, parent, in main, can be a template)."""
 
     blocks: list[tuple[str, bool, int]]
-    subtrees: list[tuple[int, int]]
-    body: int
+    subtrees: list[tuple[int, int, bool, bool]]
     has_main: bool
 
     def text(self, templates: frozenset[int] | set[int] = frozenset()) -> str:
-        gone = [h in templates for h, _ in self.subtrees]
-        for i, (_, parent) in enumerate(self.subtrees):
+        gone = [own and h in templates for h, _, _, own in self.subtrees]
+        for i, (_, parent, _, _) in enumerate(self.subtrees):
             gone[i] = gone[i] or parent >= 0 and gone[parent]
-        return " ".join(t for t, main, at in self.blocks if main == self.has_main and not (at >= 0 and gone[at]))
+        left = [(t, main) for t, main, at in self.blocks if not (at >= 0 and gone[at])]
+        chosen = self.has_main and _fair(left)
+        return " ".join(t for t, main in left if main or not chosen)
+
+    def counted(self) -> set[tuple[int, int, int]]:
+        """(part, body, subtree) to count; 0 stands for the part itself.
+
+        Parts are what lies outside (0) and inside (2) articles.
+        """
+        blocks = [(t, main) for t, main, _ in self.blocks]
+        outside, whole, inside = 0, _digest(t for t, _ in blocks), _digest(t for t, main in blocks if main)
+        found = {(outside, whole, 0)}
+        if self.has_main:
+            found.add((2, inside, 0))
+        for h, _, main, own in self.subtrees:
+            if own:
+                found.add((2, inside, h) if main else (outside, whole, h))
+        return found
+
+
+def _fair(blocks: list[tuple[str, bool]]) -> bool:
+    """Whether the blocks in main hold a fair share of the text."""
+    return sum(len(t) for t, main in blocks if main) >= MAIN_SHARE * sum(len(t) for t, _ in blocks)
+
+
+def _digest(texts: Iterable[str]) -> int:
+    h = xxhash.xxh64("\0".join(texts)).intdigest()
+    return h - (1 << 64) if h >> 63 else h
 
 
 def parse(page: str | None, hashed: bool = True) -> Parsed:
@@ -171,12 +202,15 @@ def parse(page: str | None, hashed: bool = True) -> Parsed:
         named = "=" in m["attrs"] and _named_aside(tag, m["attrs"])
         node = _Open(tag, top.skipped or tag in _NEVER or named, main, top.first)
         has_main = has_main or (main and not node.skipped)
-        if hashed and block and not main and not node.skipped and tag not in ("html", "body"):
+        if hashed and main and not top.main and not node.skipped:
+            # what holds an article is no template
+            for above in stack:
+                if above.digest is not None:
+                    subtrees[above.first][4] = False
+        if hashed and block and not node.skipped and tag not in ("html", "body"):
             node.digest = xxhash.xxh64(f"<{tag}")
             node.first = len(subtrees)
-            subtrees.append([0, top.first, node.digest])
-        elif main:
-            node.first = -1
+            subtrees.append([0, top.first, node.digest, main, not main or tag in _BOXES])
         stack.append(node)
         if not block and node.skipped and not top.skipped:
             buffer.append("")
@@ -184,8 +218,7 @@ def parse(page: str | None, hashed: bool = True) -> Parsed:
         buffer.append(html.unescape(source[last:]))
     flush()
     close(len(stack) - 1)
-    whole = xxhash.xxh64("\0".join(t for t, _, _ in blocks)).intdigest()
-    return Parsed(blocks, [(h, p) for h, p, _ in subtrees], whole - (1 << 64) if whole >> 63 else whole, has_main)
+    return Parsed(blocks, [(h, p, inside, own) for h, p, _, inside, own in subtrees], has_main)
 
 
 def _host(url: Column) -> Column:
@@ -193,35 +226,37 @@ def _host(url: Column) -> Column:
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, subtree) of the subtrees outside main text that recur over different pages of a host."""
+    """(host, subtree) of the subtrees that recur over different pages of a host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, bodies, trees = [], [], []
+            hosts, parts, bodies, trees = [], [], [], []
             for host, page in zip(b.column(0), b.column(1)):
-                p = parse(page.as_py())
                 name = host.as_py()
-                # 0 stands for the page itself, so that pages are counted with it; pages with main text have no use for counts
-                for h in {0, *(() if p.has_main else (x for x, _ in p.subtrees))}:
+                for part, body, h in parse(page.as_py()).counted():
                     hosts.append(name)
-                    bodies.append(p.body)
+                    parts.append(part)
+                    bodies.append(body)
                     trees.append(h)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(bodies, pa.int64()), pa.array(trees, pa.int64())], ["host", "body", "subtree"]
+                [pa.array(hosts, pa.string()), pa.array(parts, pa.int32()), pa.array(bodies, pa.int64()), pa.array(trees, pa.int64())],
+                ["host", "part", "body", "subtree"],
             )
 
     seen = pages.select(_host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(
-        run, "host string, body long, subtree long"
+        run, "host string, part int, body long, subtree long"
     )
     # two steps, so that a large host is spread over its pages' bodies first
-    counts = seen.groupBy("host", "subtree", "body").agg(F.lit(1).alias("one")).groupBy("host", "subtree").agg(F.sum("one").alias("n"))
+    once = seen.groupBy("host", "part", "subtree", "body").agg(F.lit(1).alias("one"))
+    counts = once.groupBy("host", "part", "subtree").agg(F.sum("one").alias("n"))
     counts = cut_lineage(counts.where((F.col("n") >= min_pages) | (F.col("subtree") == 0)))
-    totals = counts.where("subtree = 0").select(F.col("host").alias("h"), F.col("n").alias("total"))
+    totals = counts.where("subtree = 0").select(F.col("host").alias("h"), F.col("part").alias("p"), F.col("n").alias("total"))
     return (
         counts.where("subtree <> 0")
-        .join(totals, F.col("host") == F.col("h"))
+        .join(totals, (F.col("host") == F.col("h")) & (F.col("part") == F.col("p")))
         .where((F.col("n") >= min_pages) & (F.col("n") >= F.col("total") * min_share))
         .select("host", "subtree")
+        .distinct()
     )
 
 
@@ -265,10 +300,7 @@ def _with_templates(src: DataFrame, templates: DataFrame) -> DataFrame:
         for b in batches:
             keys, hosts, trees = [], [], []
             for key, host, page in zip(b.column(0), b.column(1), b.column(2)):
-                p = parse(page.as_py())
-                if p.has_main:
-                    continue
-                for h in {x for x, _ in p.subtrees}:
+                for h in {x for x, _, _, own in parse(page.as_py()).subtrees if own}:
                     keys.append(key.as_py())
                     hosts.append(host.as_py())
                     trees.append(h)

@@ -47,6 +47,20 @@ def test_templates(spark):
     assert html_text.main_text(df.where("false")).count() == 0
 
 
+def test_templates_on_pages_with_articles(spark):
+    word = lambda k: " ".join(f"w{k}x{i}" for i in range(20))
+    box = "<div><p>Follow our <b>site</b></p></div>"
+    # a box inside the article; an article as a teaser beside the story, in a div
+    rows = [("http://a.example/1", f"<article><p>{word(i)}</p>{box}</article>") for i in range(12)]
+    rows += [("http://b.example/1", f"<div><article><p>Next</p></article></div><div><p>{word(i)}</p></div>{box}") for i in range(12)]
+    # copies of one article on pages that differ outside it are one article
+    rows += [("http://c.example/1", f"<p>{i} of 12</p><article><div>{word(7)}</div></article>") for i in range(12)]
+    df = pages(spark, rows)
+    plain = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert plain == {r.page_id: r.text for r in html_text.main_text(df, max_broadcast=-1).collect()}
+    assert plain == {i: word(i) if i < 12 else f"Next {word(i - 12)}" if i < 24 else word(7) for i in range(36)}
+
+
 def test_real_pages_against_a_plain_strip(spark):
     import html
 
