@@ -26,6 +26,8 @@ from quire.llm.common import cut_lineage
 MIN_PAGES = 5
 #: ... and on at least this share of them.
 MIN_SHARE = 0.2
+#: ... or on so many, whatever the share.
+MANY_PAGES = 1000
 #: Share of the text left that an <article> or <main> must hold to be the main text.
 MAIN_SHARE = 0.2
 #: Templates up to which the table is sent to every task; above, pages look theirs up by a join.
@@ -109,10 +111,11 @@ class Parsed:
     def counted(self) -> set[tuple[int, int, int]]:
         """(part, body, subtree) to count; 0 stands for the part itself.
 
-        Parts are what lies outside (0) and inside (2) articles.
+        Parts are what lies outside articles, on pages with (1) and without (0) an article of a fair share, and what
+        lies inside (2). So a template has to recur only over pages that can hold it.
         """
         blocks = [(t, main) for t, main, _ in self.blocks]
-        outside, whole, inside = 0, _digest(t for t, _ in blocks), _digest(t for t, main in blocks if main)
+        outside, whole, inside = int(self.has_main and _fair(blocks)), _digest(t for t, _ in blocks), _digest(t for t, main in blocks if main)
         found = {(outside, whole, 0)}
         if self.has_main:
             found.add((2, inside, 0))
@@ -225,7 +228,7 @@ def _host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many: int = MANY_PAGES) -> DataFrame:
     """(host, subtree) of the subtrees that recur over different pages of a host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +257,7 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     return (
         counts.where("subtree <> 0")
         .join(totals, (F.col("host") == F.col("h")) & (F.col("part") == F.col("p")))
-        .where((F.col("n") >= min_pages) & (F.col("n") >= F.col("total") * min_share))
+        .where((F.col("n") >= min_pages) & ((F.col("n") >= F.col("total") * min_share) | (F.col("n") >= many)))
         .select("host", "subtree")
         .distinct()
     )

@@ -61,6 +61,18 @@ def test_templates_on_pages_with_articles(spark):
     assert plain == {i: word(i) if i < 12 else f"Next {word(i - 12)}" if i < 24 else word(7) for i in range(36)}
 
 
+def test_shares_of_the_pages_that_can_hold_a_template(spark):
+    word = lambda k: " ".join(f"w{k}x{i}" for i in range(20))
+    rows = [("http://a.example/1", f"<div>Menu</div><div><p>{word(i)}</p></div>") for i in range(6)]
+    rows += [("http://a.example/1", f"<article><p>{word(i)}</p></article>") for i in range(6, 60)]
+    got = {r.page_id: r.text for r in html_text.main_text(pages(spark, rows)).collect()}
+    assert got == {i: word(i) for i in range(60)}
+    # a section's box: 8 of 60 pages are under the share
+    rows = [("http://b.example/1", f"{'<div>Section</div>' if i < 8 else ''}<div><p>{word(i)}</p></div>") for i in range(60)]
+    assert html_text.site_templates(pages(spark, rows)).count() == 0
+    assert html_text.site_templates(pages(spark, rows), many=8).count() == 1
+
+
 def test_real_pages_against_a_plain_strip(spark):
     import html
 
