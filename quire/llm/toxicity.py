@@ -2,7 +2,7 @@
 
 The lexicon holds words, and stems of words (written with a final *), that labelled toxic documents use far more
 often than clean ones: of all that do, the few that cover the toxic documents. It is kept as a trie, in which the end of a stem loops on any letter. The trie is intersected with the Levenshtein automaton of each term's length (no error up to 4 letters, one up to 8, two
-beyond) and the product is made deterministic as words are read, so a misspelled term costs one table lookup a
+beyond; for stems none up to 5 letters, one beyond) and the product is made deterministic as words are read, so a misspelled term costs one table lookup a
 letter. Each hit is weighed by the words around it: quotation marks, reporting verbs and talk about words speak for
 quotation, address in the second person for abuse. A logistic model turns a document's sums into a score.
 """
@@ -54,7 +54,8 @@ class LexiconAutomaton:
         self.children: list[dict[str, int]] = [{}]
         self.term_at: dict[int, str] = {}
         self.budget = [0]
-        self.stems: set[int] = set()
+        #: End of a stem to the node that loops; of its own, so that longer terms get nothing from the loop.
+        self.loops: dict[int, int] = {}
         for term in sorted(terms):
             node, errors = 0, self.errors_for(term)
             self.budget[0] = max(self.budget[0], errors)
@@ -68,13 +69,18 @@ class LexiconAutomaton:
                 node = nxt
                 self.budget[node] = max(self.budget[node], errors)
             if term.endswith("*"):
-                self.stems.add(node)
-            self.term_at.setdefault(node, term)
+                self.loops[node] = node = len(self.children)
+                self.children.append({})
+                self.budget.append(errors)
+            self.term_at[node] = term
+        self.looping = frozenset(self.loops.values())
         self._reset()
 
     @staticmethod
     def errors_for(term: str) -> int:
-        return 0 if len(term) <= 4 or term.endswith("*") else 1 if len(term) <= 8 else 2
+        if term.endswith("*"):
+            return int(len(term) > 6)
+        return 0 if len(term) <= 4 else 1 if len(term) <= 8 else 2
 
     def _reset(self) -> None:
         self.ids: dict[frozenset, int] = {}
@@ -95,6 +101,9 @@ class LexiconAutomaton:
                 if e + 1 <= self.budget[child] and at.get(child, 99) > e + 1:
                     at[child] = e + 1
                     todo.append((child, e + 1))
+            loop = self.loops.get(node)
+            if loop is not None and e <= self.budget[loop] and at.get(loop, 99) > e:
+                at[loop] = e
         return frozenset(at.items())
 
     def _state(self, members: frozenset) -> int:
@@ -115,8 +124,8 @@ class LexiconAutomaton:
                 cost = e if c == ch else e + 1
                 if cost <= self.budget[child] and at.get(child, 99) > cost:
                     at[child] = cost
-            if node in self.stems and e == 0:
-                at[node] = 0
+            if node in self.looping:
+                at[node] = min(at.get(node, 99), e)
             elif e + 1 <= self.budget[node] and at.get(node, 99) > e + 1:
                 at[node] = e + 1
         nxt = self._state(self._closure(at)) if at else -1

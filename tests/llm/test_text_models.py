@@ -38,6 +38,26 @@ def test_automaton_equals_edit_distance():
     assert auto.match("idxot") == ("idiot", 1)
 
 
+def test_misspelled_stems():
+    """Stems of six letters and more bear an error; what follows a stem is no part of a longer term."""
+    rng = random.Random(4)
+    terms = {"disgus*": 1.0, "worthle*": 1.0, "chlla*": 1.0, "chllabcdef": 1.0}
+    auto = toxicity.LexiconAutomaton(terms)
+    words = ["disgxsting", "wortles", "chllaxxxbcdef"]
+    for t in ("disgusting", "worthless", "chllabcdef"):
+        for _ in range(200):
+            w = list(t)
+            for _ in range(rng.randrange(1, 4)):
+                k = rng.randrange(len(w) + 1)
+                w[k : k + rng.randrange(2)] = rng.choice(["", "x", t[0]])
+            words.append("".join(w))
+    for w in words:
+        near = [(min(lev(w[:k], t[:-1]) for k in range(len(w) + 1)) if t.endswith("*") else lev(w, t), t) for t in terms]
+        best = min([(e, t) for e, t in near if e <= auto.errors_for(t)], default=None)
+        assert auto.match(w) == (best and (best[1], best[0])), w
+    assert auto.match("disgxsting") == ("disgus*", 1) and auto.match("chllaxxxbcdef") == ("chlla*", 0)
+
+
 def test_context_windows():
     m = toxicity.ToxicityModel({"idiot": 4.0}, frozenset(["idiom"]), [-3.0, 1.0, 1.0, 1.0, 1.0, 0.5, 0.1])
     plain, quoted = m.score("you idiot go away"), m.score('he said "idiot" is a word')
