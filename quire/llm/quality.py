@@ -2,7 +2,7 @@
 
 Trusted positives are labelled good documents, the unlabelled set is a sample of the whole table, and a
 non-negative unbiased risk is minimised: pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)). No labelled negative is a
-training example; labels of both kinds only serve to estimate the class prior pi.
+training example; labels of both kinds only give the class prior pi, the labelled share of good documents.
 """
 
 from __future__ import annotations
@@ -22,8 +22,6 @@ from quire.llm.toxicity import per_text, training_rows
 #: Bounds on the trusted positives' labelled rows and on the unlabelled sample.
 FIT_ROWS = 8000
 UNLABELLED_ROWS = 8000
-#: Class priors that are tried, as shares of the labelled share of good documents.
-PRIOR_FACTORS = (0.8, 0.85, 0.9, 0.95, 1.0)
 THRESHOLD = 0.5
 
 _CLASS = np.full(256, 6, dtype=np.int64)
@@ -104,57 +102,6 @@ def _features(text: str) -> Column:
     return per_text(lambda t: features(t).tolist(), "array<double>")(text)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> QualityModel | None:
-    """None if no training document is labelled good.
-
-    Priors near the labelled share of good documents are tried; the one whose model agrees best with the labelled
-    training rows is the estimate, and ties go to the smallest.
-    """
-    rows = training_rows(docs, labels, "quality", most=FIT_ROWS).select(_features("_text").alias("x"), "_label").collect()
-    y = np.array([r._label for r in rows], dtype=int)
-    if not y.any():
-        return None
-    x = np.array([r.x for r in rows])
-    share = (y.sum() + 0.5) / (len(y) + 1.0)
-    web = docs.where(fold("doc_id", 3) != 1).select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text"))
-    web = bounded_sample(web, "_id", UNLABELLED_ROWS, web.count(), seed=23)
-    unlabelled = np.array([r.x for r in web.select(_features("_text").alias("x")).collect()])
-    best = None
-    for factor in PRIOR_FACTORS if (y == 0).any() else (1.0,):
-        model = fit_nnpu(x[y == 1], unlabelled, share * factor)
-        right = [((model.score(x[y == k]) >= THRESHOLD) == k).mean() for k in (0, 1) if (y == k).any()]
-        if best is None or np.mean(right) > best[0] + 1e-9:
-            best = (np.mean(right), model)
-    return best[1]
-
-
-def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.design(x) @ self.weights, -30, 30)))
-
-
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.08, ridge: float = 1e-3) -> QualityModel:
-    """Minimises the non-negative risk of a logistic model by Adam; where the negative part falls under 0, it is undone."""
-    model = QualityModel(unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3, np.zeros(1 + 2 * unlabelled.shape[1]), prior)
-    p, u, w = model.design(positive), model.design(unlabelled), model.weights
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for i in range(1, rounds + 1):
-        sp, su = 1 / (1 + np.exp(-np.clip(p @ w, -30, 30))), 1 / (1 + np.exp(-np.clip(u @ w, -30, 30)))
-        # logistic losses: -log s for the positive label, -log(1 - s) for the negative
-        negative = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
-        g_negative = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-        g_positive = -prior * (p.T @ (1 - sp)) / len(p)
-        grad = g_positive + g_negative if negative >= 0 else -g_negative
-        grad = grad + ridge * np.r_[0, w[1:]]
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w = w - rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
-    model.weights = w
-    return model
-
-
-def _features(text: str) -> Column:
-    return per_text(lambda t: features(t).tolist(), "array<double>")(text)
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> QualityModel | None:
     """None if no training document is labelled good."""
     rows = training_rows(docs, labels, "quality", most=FIT_ROWS).select(_features("_text").alias("x"), "_label").collect()

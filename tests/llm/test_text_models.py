@@ -1,3 +1,5 @@
+import ast
+import inspect
 import random
 import zlib
 
@@ -81,6 +83,11 @@ def test_quality_held_out(spark):
     assert held_out("documents", spark, quality.quality, "quality", 3, 1) > 0.97
 
 
+def test_quality_defines_everything_once():
+    names = [n.name for n in ast.parse(inspect.getsource(quality)).body if isinstance(n, ast.FunctionDef | ast.ClassDef)]
+    assert len(names) == len(set(names))
+
+
 ODD = [(1, None, "en"), (2, "", None), (3, "123 !!!", "en"), (4, "x" * 300000, "fr"), (4, "x" * 300000, "fr"), (None, "Hello there", "en")]
 
 
