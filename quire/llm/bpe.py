@@ -6,7 +6,8 @@
 2. Documents become batches of references to words. A batch's other words, once each, are shuffled by word, so that
    every distinct word meets in one place and is encoded once; its ids go back to the batches that asked.
 3. Batch by batch, ids are put back by position.
-Decoding looks every id up in a table of pieces, whose size is the vocabulary's.
+Decoding joins ids with the table of pieces, whose size is the vocabulary's. Ids count up from 0 without gaps, so the
+join is by position within each row's array: no id is shuffled, and the order of the ids is that of the pieces.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -88,6 +88,24 @@ def frequent_words(sample: DataFrame, tokenizer: str, most: int) -> list[tuple[s
     return [(r.word, bytes(r.ids)) for r in sorted(ids.collect(), key=lambda r: (-r.n, r.word))]
 
 
+def _spans(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in one array, and where each word's begin and end."""
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
+    return np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32), ends
+
+
+_PLACES: dict[int, dict[str, int]] = {}
+
+
+def _places(sent) -> dict[str, int]:
+    """The frequent words' numbers, made once in a worker; those of an earlier query go."""
+    words = sent.value
+    if id(words) not in _PLACES:
+        _PLACES.clear()
+        _PLACES[id(words)] = {w: i for i, w in enumerate(words)}
+    return _PLACES[id(words)]
+
+
 #: Tasks that encode the frequent words.
 TOP_PARTS = 8
 
@@ -165,21 +183,23 @@ def encode(
 ) -> DataFrame:
     """One row per row of ``docs``: id, ids (array of int), as the tokenizer encodes the whole text without special tokens added.
 
-    A null or empty text has no ids. Repeated rows get a row each; an empty table gives an empty result; other
-    columns are ignored. ``docs`` is read more than once and has to give the same rows in the same partitions each
-    time, as files and checkpoints do; a batch that differs fails the job and never loses words.
+    A null or empty text has no ids. Repeated rows and null ids get a row each; an empty table gives an empty result;
+    other columns are ignored. A very long text is a batch of its own. ``docs`` is read more than once and has to give
+    the same rows in the same partitions each time, as files and checkpoints do; a batch that differs fails the job and
+    never loses words.
     """
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()
     top = frequent_words(bounded_sample(src, "_id", sample_docs, src.count()), tokenizer, frequent) if frequent else []
-    # bounded by ``frequent``
-    sent = docs.sparkSession.sparkContext.broadcast(({w: i for i, (w, _) in enumerate(top)}, [ids for _, ids in top]))
+    # bounded by ``frequent``; tasks that split texts need the words, those that put ids back need only the ids
+    sc = docs.sparkSession.sparkContext
+    sent, sent_ids = sc.broadcast([w for w, _ in top]), sc.broadcast(_spans([ids for _, ids in top]))
 
     def skeleton(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per batch: references to words, compressed by byte planes; those of frequent words are small numbers."""
         pack = zstandard.ZstdCompressor(level=3)
         for key, ids, texts in _batches(batches):
-            refs, sizes, _ = refer(texts, sent.value[0], _specials(tokenizer))
+            refs, sizes, _ = refer(texts, _places(sent), _specials(tokenizer))
             planes = refs.view(np.uint8).reshape(-1, 4).T.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([key], pa.binary()), _one_list(ids), _one_list(pa.array(sizes, pa.int32())), pa.array([pack.compress(planes)], pa.binary())],
@@ -189,24 +209,25 @@ def encode(
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(other_key, at, other): each batch's own words, once each, in order of spelling."""
         for key, _, texts in _batches(batches):
-            own = sorted(refer(texts, sent.value[0], _specials(tokenizer))[2].items())
+            own = sorted(refer(texts, _places(sent), _specials(tokenizer))[2].items())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([key] * len(own), pa.binary()), pa.array([at for _, at in own], pa.int32()), pa.array([w for w, _ in own], pa.string())],
                 ["other_key", "at", "other"],
             )
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value[1]
+        known, known_ends = sent_ids.value
         for b in batches:
             for i in range(b.num_rows):
                 sizes = b.column(1)[i].values.to_numpy()
                 planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b.column(2)[i].as_py()), np.uint8)
                 refs = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
-                yield from _documents(id_col, b.column(0)[i].values, sizes, refs, known, b.column(3)[i])
+                yield from _documents(id_col, b.column(0)[i].values, sizes, refs, known, known_ends, b.column(3)[i])
 
     parts = src.mapInArrow(skeleton, f"key binary, row_ids array<{kind}>, sizes array<int>, refs binary")
     rare = src.mapInArrow(others, "other_key binary, at int, other string")
-    # a word is in a batch once, and its rows only stream through, so a word that many batches ask for is no burden
+    # A batch asks for a word once, so one word holds no more than one of a batch's many requests, and its rows only
+    # stream through: no key can hold a large share of this shuffle, and none needs to be split.
     found = rare.repartition("other").sortWithinPartitions("other").mapInArrow(_encode_runs(tokenizer, "other", drop=True), "other_key binary, at int, ids binary")
     # a batch's own words are fewer than its characters, which are bounded
     by_batch = found.groupBy("other_key").agg(F.collect_list(F.struct("at", "ids")).alias("others"))
@@ -218,20 +239,29 @@ def _one_list(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _documents(id_col: str, row_ids: pa.Array, sizes: np.ndarray, refs: np.ndarray, known: list[bytes], others: pa.Scalar) -> Iterator[pa.RecordBatch]:
+def _documents(
+    id_col: str, row_ids: pa.Array, sizes: np.ndarray, refs: np.ndarray, known: np.ndarray, known_ends: np.ndarray, others: pa.Scalar
+) -> Iterator[pa.RecordBatch]:
     """Ids of the documents of a batch, put back by position, some hundred documents at a time."""
-    own: dict[int, bytes] = {}
+    flat, ends = known, known_ends
     if others.is_valid:
-        own = dict(zip(others.values.field("at").to_pylist(), others.values.field("ids").to_pylist()))
-    # KeyError if a word of the batch has not come back, never a document with less
-    table = known + [own[len(known) + i] for i in range(max(0, int(refs.max(initial=0)) + 1 - len(known)) if len(refs) else 0)]
-    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        at, ids = others.values.field("at").to_numpy(), others.values.field("ids").to_pylist()
+        order = np.argsort(at, kind="stable")
+        # IndexError below if a word of the batch has not come back, never a document with less
+        if not np.array_equal(at[order], np.arange(len(at)) + len(ends) - 1):
+            raise KeyError("words of a batch are missing")
+        own, own_ends = _spans([ids[i] for i in order])
+        flat, ends = np.concatenate([flat, own]), np.concatenate([ends, own_ends[1:] + ends[-1]])
+    starts, lengths = ends[:-1], np.diff(ends)
+    upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     for lo in range(0, len(sizes), 256):
         hi = min(lo + 256, len(sizes))
-        pieces = list(map(table.__getitem__, refs[ends[lo] : ends[hi]].tolist()))
-        lengths = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4)])
-        ids = np.frombuffer(b"".join(pieces), dtype="<u4").astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(lengths[ends[lo : hi + 1] - ends[lo]].astype(np.int32)), pa.array(ids))
+        part = refs[upto[lo] : upto[hi]]
+        long = lengths[part]
+        after = np.concatenate([[0], np.cumsum(long)])
+        # the place in ``flat`` of each id: its word's start, plus its place in the word
+        places = np.repeat(starts[part] - after[:-1], long) + np.arange(after[-1])
+        lists = pa.ListArray.from_arrays(pa.array(after[upto[lo : hi + 1] - upto[lo]].astype(np.int32)), pa.array(flat[places]))
         yield pa.RecordBatch.from_arrays([row_ids.slice(lo, hi - lo), lists], [id_col, "ids"])
 
 
@@ -255,19 +285,17 @@ def piece_table(tokenizer: str) -> list[bytes]:
 
 
 def decode(ids: Column, tokenizer: str) -> Column:
-    """The text of an array of ids, special tokens included; bytes that are no UTF-8 become U+FFFD. Null gives null."""
+    """The text of an array of ids, special tokens included; bytes that are no UTF-8 become U+FFFD. Null gives null.
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        piece = piece_table(tokenizer).__getitem__
-        for rows in batches:
-            yield rows.map(lambda x: None if x is None else b"".join(map(piece, x.tolist())).decode("utf-8", "replace"))
-
-    return run(ids)
+    The table of pieces is a constant of the plan, one row of the vocabulary's size, joined by position.
+    """
+    pieces = F.split(F.lit(",".join(p.hex() for p in piece_table(tokenizer))), ",")
+    found = F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")
+    return F.make_valid_utf8(F.unhex(found).cast("string"))
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256. Odd rows and tables as in ``encode``."""
     encoded = encode(docs, tokenizer)
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
     return encoded.select(

@@ -98,3 +98,16 @@ def test_evolution_beats_or_equals_best_fit():
         plain = len(packing.Packing(bin_of, sizes).loads)
         best = packing.evolve(sizes, 1000, [], np.random.default_rng(2), 40)
         assert best.loads.max() <= 1000 and best.loads.sum() == sizes.sum() and len(best.loads) <= plain
+
+
+def test_decode_in_a_plan(spark):
+    """Ids in any order, broken bytes and special tokens among them."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    tok, rng = Tokenizer.from_file(BYTE), random.Random(1)
+    rows = [[rng.randrange(tok.get_vocab_size()) if rng.random() < 0.3 else rng.randrange(170, 256) for _ in range(30)] for _ in range(300)]
+    df = spark.createDataFrame([*enumerate(rows), (300, []), (301, None)], "i int, ids array<int>")
+    got = {r.i: r.t for r in df.select("i", bpe.decode(F.col("ids"), BYTE).alias("t")).collect()}
+    assert [got[i] for i in range(300)] == [tok.decode(x, skip_special_tokens=False) for x in rows] and (got[300], got[301]) == ("", None)
