@@ -1,17 +1,18 @@
 """Main text of web pages, with site templates found by counting element subtrees.
 
-Every page is read once as a stream of tags. Elements that never hold main text (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, comments) are left out by tag, role or class. The rest is hashed, subtree by
-subtree, on every page. The hashes are counted per host in Spark over pages with different bodies, and a subtree that
-recurs on many of them is a template of the site and is deleted. Inside an <article> or <main> only boxes can be
-templates, counted over different articles; the article itself and its paragraphs are the page's own, however often
-they are copied. An article is the main text if it holds a fair share of what is left; otherwise all that is left is.
+Every page is read once as a stream of tags, and every element is hashed, subtree by subtree: menus, footers and
+adverts as well as what holds text. The hashes are counted per host in Spark over pages with different bodies, and a
+subtree that recurs on many of them is a template of the site and is deleted. Inside an <article> or <main> only boxes
+can be templates, counted over different articles; the article itself and its paragraphs are the page's own, however
+often they are copied. What recurs on too few pages to be counted, or on none (reader comments), is told by its tag,
+role or class. An article is the main text if it holds a fair share of what is left; otherwise all that is left is.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -40,17 +41,22 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr img".split()
 )
-_NEVER = frozenset(
-    "head nav header footer aside form button select option datalist dialog menu svg math canvas object video audio "
-    "map script style textarea title noscript iframe template noframes xmp".split()
+_UNSEEN = frozenset(
+    "head select option datalist svg math canvas object video audio map script style textarea title noscript iframe template noframes xmp".split()
 )
-# fixed values: names that sites give to what is no main text, alone or with a part before or after a dash
+_BESIDE = frozenset("nav header footer aside form button dialog menu".split())
+# fixed values: names that sites give to what is no main text, alone or as the last part after a dash
 _NAMES = frozenset(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo banner nav navbar navigation menu sidebar "
     "footer header masthead breadcrumb breadcrumbs cookie cookies consent notice notification popup modal overlay newsletter subscribe "
     "share sharing social related recommended comment comments disqus replies widget toolbar pagination pager login signup search "
     "contentinfo complementary alert".split()
 )
+# fixed values: last parts that only say what kind of box it is; the part before is the name then
+_KINDS = frozenset(
+    "area bar block box button buttons col column container content form group holder inner item items link links list main module outer panel "
+    "primary row section slot top bottom unit wrap wrapper".split()
+)
 #: Of these, what an <article> can be named without being the main one.
 _ASIDE_ARTICLES = frozenset("ad ads advert sponsored promo related recommended comment comments replies".split())
 #: Parts that only say whether or where something is shown.
@@ -62,23 +68,27 @@ _CLOSED_BY = {
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
 }
 _SCOPES = frozenset("ul ol dl table body html article main section div nav aside header footer form".split())
+#: Attributes: a quote opens a value only after an equals sign.
+_ATTRS = r"(?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)?|[^=>])*+"
 _TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<raw>" + _RAW + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|</[^a-zA-Z][^>]*>",
+    r"<!--(?:>|->|.*?(?:--!?>|(?P<open>\Z)))|<(?P<raw>" + _RAW + r")(?=[\s/>])" + _ATTRS + r">.*?(?:</(?P=raw)\s*>|(?P<unshut>\Z))"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>" + _ATTRS + r")>|<[!?][^>]*>|</[^a-zA-Z][^>]*>",
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 def _named_aside(tag: str, attrs: str) -> bool:
-    """Whether class, id or role name an element as no main text, word for word: "site-footer" does, "has-sidebar" does not."""
+    """Whether class, id or role name an element as no main text: "site-footer" and "comments-list" do, "has-sidebar" and "social-history" do not."""
     if tag in ("html", "body", "main"):
         return False
     names = _ASIDE_ARTICLES if tag == "article" else _NAMES
     for values in map(re.Match.groups, _NAMED.finditer(attrs)):
         for token in next(v for v in values if v is not None).lower().split():
             parts = re.split("[-_]+", token)
-            if (parts[0] in names or parts[-1] in names) and not _STATES & set(parts):
+            while len(parts) > 1 and parts[-1] in _KINDS:
+                parts.pop()
+            if parts[-1] in names and not _STATES & set(parts):
                 return True
     return False
 
@@ -87,6 +97,8 @@ def _named_aside(tag: str, attrs: str) -> bool:
 class _Open:
     tag: str
     skipped: bool
+    #: Whether the innermost block is skipped; its text then counts for the subtree's hash alone.
+    hidden: bool
     main: bool
     first: int
     digest: object = field(default=None)
@@ -135,39 +147,66 @@ def _digest(texts: Iterable[str]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def parse(page: str | None, hashed: bool = True) -> Parsed:
-    """Blocks of a page in order. Missing end tags are closed by the enclosing element, as browsers do."""
+def parse(page: str | None, hashed: bool = True, named: bool = True) -> Parsed:
+    """Blocks of a page in order. Missing end tags are closed by the enclosing element, as browsers do.
+
+    ``named``: whether tags, roles and classes tell what is main text and what is none; without, only what browsers never show is left out.
+    """
     source = page or ""
-    stack = [_Open("", False, False, -1)]
+    # no tag ends after the last ">"
+    last_end = source.rfind(">") + 1
+    never = _UNSEEN | _BESIDE if named else _UNSEEN
+    stack = [_Open("", False, False, False, -1)]
+    is_open: Counter[str] = Counter()
     blocks: list[tuple[str, bool, int]] = []
     subtrees: list[list] = []
     buffer: list[str] = []
     has_main = False
 
+    def take(text: str) -> None:
+        top = stack[-1]
+        if not top.skipped or (hashed and top.hidden):
+            buffer.append(text)
+
     def flush() -> None:
         text = " ".join("".join(buffer).split())
         buffer.clear()
         if text:
             top = stack[-1]
-            blocks.append((text, top.main, top.first))
+            if not top.hidden:
+                blocks.append((text, top.main, top.first))
             if top.first >= 0:
                 subtrees[top.first][2].update(text)
 
     def close(count: int) -> None:
         for _ in range(count):
             node = stack.pop()
+            is_open[node.tag] -= 1
             if node.digest is not None:
                 h = node.digest.intdigest()
                 subtrees[node.first][0] = h - (1 << 64) if h >> 63 else h
-                above = stack[-1]
-                if above.digest is not None:
-                    above.digest.update(f"\0{h}")
+                # inline elements lie between
+                if stack[-1].first >= 0:
+                    subtrees[stack[-1].first][2].update(f"\0{h}")
+
+    def depth_of(tags: frozenset[str], through: frozenset[str] | None = None, until: frozenset[str] = frozenset()) -> int:
+        """How far up the nearest open one of ``tags`` is, 0 if none; only ``through`` may lie below it, and the search ends at ``until``."""
+        if any(is_open[t] for t in tags):
+            for i in range(1, len(stack)):
+                tag = stack[-i].tag
+                if tag in tags:
+                    return i
+                if tag in until or (through is not None and tag not in through):
+                    return 0
+        return 0
 
     last = 0
-    for m in _TOKEN.finditer(source):
-        if m.start() > last and not stack[-1].skipped:
-            buffer.append(html.unescape(source[last : m.start()]))
+    for m in _TOKEN.finditer(source, 0, last_end):
+        if m.start() > last:
+            take(html.unescape(source[last : m.start()]))
         last = m.end()
+        if m["open"] is not None or m["unshut"] is not None:
+            last = len(source)
         if m["raw"] or not m["tag"]:
             continue
         tag = m["tag"].lower()
@@ -178,57 +217,48 @@ def parse(page: str | None, hashed: bool = True) -> Parsed:
             continue
         block = tag not in _INLINE
         if m["end"]:
-            depth = next((i for i in range(1, len(stack)) if stack[-i].tag == tag), 0)
-            if depth and (block or all(s.tag in _INLINE for s in stack[-depth:])):
-                if block:
-                    flush()
-                close(depth)
-            elif block:
+            depth = depth_of(frozenset([tag]), None if block else _INLINE)
+            if block:
                 flush()
+            close(depth)
             continue
         if block:
             flush()
-            shut = _CLOSED_BY.get(tag)
-            if shut:
-                for i in range(1, len(stack)):
-                    if stack[-i].tag in shut:
-                        close(i)
-                        break
-                    if stack[-i].tag in _SCOPES:
-                        break
+            if tag in _CLOSED_BY:
+                close(depth_of(_CLOSED_BY[tag], until=_SCOPES))
             elif tag == "body" or tag == "html":
                 # the head ends here, closed or not
                 while len(stack) > 1 and stack[-1].tag in ("head", "title"):
                     close(1)
         top = stack[-1]
-        main = top.main or tag in ("article", "main")
-        named = "=" in m["attrs"] and _named_aside(tag, m["attrs"])
-        node = _Open(tag, top.skipped or tag in _NEVER or named, main, top.first)
-        has_main = has_main or (main and not node.skipped)
-        if hashed and main and not top.main and not node.skipped:
+        main = top.main or (named and tag in ("article", "main"))
+        skipped = top.skipped or tag in never or (named and "=" in m["attrs"] and _named_aside(tag, m["attrs"]))
+        node = _Open(tag, skipped, skipped if block else top.hidden, main, top.first)
+        has_main = has_main or (main and not skipped)
+        if hashed and main and not top.main and not skipped:
             # what holds an article is no template
-            for above in stack:
-                if above.digest is not None:
-                    subtrees[above.first][4] = False
-        if hashed and block and not node.skipped and tag not in ("html", "body"):
+            at = top.first
+            while at >= 0 and not subtrees[at][5]:
+                subtrees[at][4], subtrees[at][5] = False, True
+                at = subtrees[at][1]
+        if hashed and block and tag not in ("html", "body", "head"):
             node.digest = xxhash.xxh64(f"<{tag}")
             node.first = len(subtrees)
-            subtrees.append([0, top.first, node.digest, main, not main or tag in _BOXES])
+            subtrees.append([0, top.first, node.digest, main, skipped or not main or tag in _BOXES, False])
         stack.append(node)
-        if not block and node.skipped and not top.skipped:
-            buffer.append("")
-    if last < len(source) and not stack[-1].skipped:
-        buffer.append(html.unescape(source[last:]))
+        is_open[tag] += 1
+    if last < len(source):
+        take(html.unescape(source[last:]))
     flush()
     close(len(stack) - 1)
-    return Parsed(blocks, [(h, p, inside, own) for h, p, _, inside, own in subtrees], has_main)
+    return Parsed(blocks, [(h, p, inside, own) for h, p, _, inside, own, _ in subtrees], has_main)
 
 
 def _host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many: int = MANY_PAGES) -> DataFrame:
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many: int = MANY_PAGES, named: bool = True) -> DataFrame:
     """(host, subtree) of the subtrees that recur over different pages of a host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +266,7 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
             hosts, parts, bodies, trees = [], [], [], []
             for host, page in zip(b.column(0), b.column(1)):
                 name = host.as_py()
-                for part, body, h in parse(page.as_py()).counted():
+                for part, body, h in parse(page.as_py(), named=named).counted():
                     hosts.append(name)
                     parts.append(part)
                     bodies.append(body)
@@ -263,14 +293,17 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     )
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def main_text(
+    pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, max_broadcast: int = MAX_BROADCAST, named: bool = True
+) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
     A null or empty page has an empty text. A null or odd url belongs to the host "". Copies of a whole page count
-    once towards a template. Repeated rows get a row each; an empty table gives an empty result; other columns are
-    ignored.
+    once towards a template. Repeated rows and null ids get a row each; a very long page is read in one pass, in time
+    in proportion to its length; an empty table gives an empty result; other columns are ignored. Without ``named``
+    templates alone decide what is left out.
     """
-    templates = cut_lineage(site_templates(pages, min_pages, min_share))
+    templates = cut_lineage(site_templates(pages, min_pages, min_share, named=named))
     src = pages.select("page_id", "url", _host(F.col("url")).alias("_host"), F.col("html").cast("string").alias("_html"))
     if templates.count() <= max_broadcast:
         known: dict[str, set[int]] = {}
@@ -280,14 +313,14 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
         src = src.select("page_id", "url", "_host", "_html", F.lit(None).cast("array<bigint>").alias("_gone"))
     else:
         sent = None
-        src = _with_templates(src, templates)
+        src = _with_templates(src, templates, named)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
             for host, page, gone in zip(b.column(2), b.column(3), b.column(4)):
                 found = sent.value.get(host.as_py(), ()) if sent is not None else gone.as_py() or ()
-                texts.append(parse(page.as_py(), bool(found)).text(frozenset(found)))
+                texts.append(parse(page.as_py(), bool(found), named).text(frozenset(found)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
@@ -296,14 +329,14 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     return src.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
 
 
-def _with_templates(src: DataFrame, templates: DataFrame) -> DataFrame:
+def _with_templates(src: DataFrame, templates: DataFrame, named: bool) -> DataFrame:
     """Pages with the templates among their own subtrees (_gone), found by an equi-join of page subtrees and templates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, hosts, trees = [], [], []
             for key, host, page in zip(b.column(0), b.column(1), b.column(2)):
-                for h in {x for x, _, _, own in parse(page.as_py()).subtrees if own}:
+                for h in {x for x, _, _, own in parse(page.as_py(), named=named).subtrees if own}:
                     keys.append(key.as_py())
                     hosts.append(host.as_py())
                     trees.append(h)

@@ -83,6 +83,56 @@ def test_real_pages_against_a_plain_strip(spark):
         assert got[r.page_id] == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", body)).split())
 
 
+def test_quotes_names_and_open_ends():
+    cases = {
+        "<article><p data-x=it's>Hello</p><p>Don't stop</p></article>": "Hello Don't stop",
+        "<div class='social-history'>a</div><div class='comment-policy'>b</div><div class='share-price'>c</div>": "a b c",
+        "<p title=\"a>b\">x</p><p a=b'c>y</p><p a = '>'>z": "x y z",
+        "x <!-- <p>q": "x", "<div>a<script>var x; </div>": "a", "a < b <c": "a < b <c", "<p>a <span class=ad>ad</span> b</p>": "a b",
+        "<div class='user-comments'>d</div><div class='comments-list'>z</div><div class=ad-slot>r</div>e": "e",
+    }
+    for page, want in cases.items():
+        assert html_text.parse(page).text() == want, page
+
+
+def test_long_pages_take_time_in_proportion():
+    import time
+
+    shapes = [
+        lambda n: "<b>" * n + "</i>" * n, lambda n: "<a " * n, lambda n: "<div>" * n + "<article></article>" * n,
+        lambda n: "<i>" + "<b>" * n + "<div>" + "</i>" * n, lambda n: "<b>" * n + "<td>" * n, lambda n: "<a x='>" * n,
+    ]
+    for shape in shapes:
+        began = time.perf_counter()
+        html_text.parse(shape(20_000))
+        assert time.perf_counter() - began < 8
+
+
+def test_menus_are_counted_as_templates(spark):
+    """What tags and classes name as no main text is found by the counts as well."""
+    rows = [("http://a.example/1", f"<nav><ul><li>Home</ul></nav><article><p>story {i}</p></article><div class=ad>Buy</div>") for i in range(6)]
+    found = {r.subtree for r in html_text.site_templates(pages(spark, rows)).collect()}
+    own = [h for h, _, _, own in html_text.parse(rows[0][1]).subtrees if own]
+    # nav, ul, li and the advert; the article and its paragraph can be none
+    assert len(found) == 4 and found == set(own)
+    # without names templates alone decide, and leave the story
+    assert {r.text for r in html_text.main_text(pages(spark, rows), named=False).collect()} == {f"story {i}" for i in range(6)}
+
+
+def test_templates_change_real_pages(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    with_step = {r.page_id: r.n_chars for r in html_text.main_text(df, named=False).collect()}
+    without = {r.page_id: r.n_chars for r in html_text.main_text(df, named=False, min_pages=10**9).collect()}
+    assert all(with_step[i] <= n for i, n in without.items()) and sum(with_step[i] < n for i, n in without.items()) > 0
+
+
+def test_odd_pages(spark):
+    rows = [(1, None, None), (1, None, None), (None, "http://a.example/", "<p>x"), (2, "::", ""), (3, "http://a.example/", "<p>" + "word " * 200_000)]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, host string, subtree int")
+    got = sorted(((r.page_id or 0), r.n_chars) for r in html_text.main_text(df).collect())
+    assert got == [(0, 1), (1, 0), (1, 0), (2, 0), (3, 999_999)]
+
+
 def test_licenses_against_sql(spark):
     rng = random.Random(7)
     texts = [None, "", "x", "Released under the MIT license", "RELEASED   under the MIT License!\nLicensed under CC BY-NC 4.0.", "é" * 50]
