@@ -4,7 +4,8 @@ Documents are tokenised and cut into pieces of the sequence length at most. Full
 others are dealt by a hash into blocks of bounded size, and each block to several islands. An island evolves whole
 packings: crossover injects a run of the other parent's well-filled bins, removes the bins that hold the same
 documents again, and best-fits what was displaced. Between epochs each island's elite moves to the next island of
-its block. A block's best packing wins; its poorly filled bins are pooled over the blocks and packed once more.
+its block. A block's best packing wins; its poorly filled bins are pooled over the blocks and packed once more. Islands start from
+random next-fit groupings, so the packing is the algorithm's own and not a seed's.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import wordcache
@@ -28,6 +29,8 @@ ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 12
 POPULATION = 4
+#: A bin is well filled from this share on: crossover passes such bins on and mutation opens the others.
+FULL = 0.995
 #: Bins filled less than this are pooled and packed again.
 POOLED = 0.97
 
@@ -94,50 +97,58 @@ def best_fit(sizes: np.ndarray, capacity: int, items: np.ndarray, bin_of: np.nda
             insort(room, (left - need, b))
 
 
+def next_fit(sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> Packing:
+    """Documents in random order, each into the bin of the one before if it fits: cheap, and no two alike."""
+    bin_of, order = np.zeros(len(sizes), np.int64), rng.permutation(len(sizes))
+    at = load = 0
+    for i, need in zip(order.tolist(), sizes[order].tolist()):
+        load += need
+        if load > capacity:
+            at, load = at + 1, need
+        bin_of[i] = at
+    return Packing(bin_of, sizes)
+
+
 def offspring(a: Packing, b: Packing, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> Packing:
-    """``a`` with a run of b's well-filled bins injected, duplicates removed and the displaced best-fitted."""
-    order = np.argsort(-b.loads, kind="stable")
-    good = order[: max(1, int((b.loads >= 0.995 * capacity).sum()))]
-    share = max(1, int(len(good) * rng.uniform(0.1, 0.5)))
-    injected = rng.choice(good, share, replace=False)
+    """``a`` with some of b's well-filled bins injected, duplicates removed and the displaced best-fitted."""
+    good = np.flatnonzero(b.loads >= FULL * capacity)
+    if not len(good):
+        good = np.argsort(-b.loads, kind="stable")[:1]
+    injected = rng.choice(good, max(1, int(len(good) * rng.uniform(0.3, 0.7))), replace=False)
     from_b = np.isin(b.bin_of, injected)
     hit = np.zeros(len(a.loads), bool)
     hit[np.unique(a.bin_of[from_b])] = True
-    # mutation: the emptiest bins and a few others are opened too
-    hit[np.argsort(a.loads, kind="stable")[:3]] = True
-    hit[rng.integers(0, len(a.loads), 4)] = True
+    # mutation: poorly filled bins and a few others are opened too
+    hit |= a.loads < FULL * capacity
+    hit[rng.integers(0, len(a.loads), 1 + len(a.loads) // 50)] = True
     bin_of = np.where(from_b, len(a.loads) + b.bin_of, a.bin_of)
     displaced = np.flatnonzero(hit[a.bin_of] & ~from_b)
     loads = {int(k): int(a.loads[k]) for k in np.flatnonzero(~hit)}
+    loads.update((len(a.loads) + int(k), int(b.loads[k])) for k in injected)
     best_fit(sizes, capacity, displaced, bin_of, loads, len(a.loads) + len(b.loads))
     return Packing(bin_of, sizes)
 
 
+def floor(sizes: np.ndarray, capacity: int) -> int:
+    """No packing has fewer bins."""
+    return -(-int(sizes.sum()) // capacity)
+
+
 def evolve(sizes: np.ndarray, capacity: int, seeds: list[Packing], rng: np.random.Generator, generations: int) -> Packing:
-    """The best packing after some generations; stops at the lower bound."""
-    floor = -(-int(sizes.sum()) // capacity)
-    population = list(seeds)
-    while len(population) < POPULATION:
-        # best fit in decreasing order of slightly shaken sizes
-        bin_of = np.zeros(len(sizes), np.int64)
-        if not population:
-            best_fit(sizes, capacity, np.arange(len(sizes)), bin_of, {}, 0)
-        else:
-            items = np.arange(len(sizes))
-            first = rng.random(len(sizes)) < 0.3
-            best_fit(sizes, capacity, items[first], bin_of, {}, 0)
-            part = np.bincount(bin_of[first], weights=sizes[first]).astype(np.int64) if first.any() else []
-            best_fit(sizes, capacity, items[~first], bin_of, dict(enumerate(map(int, part))), len(part))
-        population.append(Packing(bin_of, sizes))
-        if len(population[-1].loads) == floor:
-            return population[-1]
+    """The best packing after some generations; stops at the lower bound.
+
+    The population starts from ``seeds`` and random next-fit groupings, so whatever is good comes from crossover.
+    Two parents are drawn, the better one first more often; their children replace the two worst.
+    """
+    population = [*seeds, *(next_fit(sizes, capacity, rng) for _ in range(POPULATION - len(seeds)))]
+    least = floor(sizes, capacity)
     for _ in range(generations):
         population.sort(key=lambda p: p.key(capacity))
-        if len(population[0].loads) == floor:
+        if len(population[0].loads) <= least:
             break
-        i, j = rng.choice(len(population), 2, replace=False)
-        a, b = population[min(i, j)], population[max(i, j)]
-        population = population[: POPULATION - 2] + [offspring(a, b, sizes, capacity, rng), offspring(b, a, sizes, capacity, rng)]
+        i, j = sorted(rng.choice(len(population), 2, replace=False))
+        a, b = population[i], population[j]
+        population = population[: max(1, POPULATION - 2)] + [offspring(a, b, sizes, capacity, rng), offspring(b, a, sizes, capacity, rng)]
     return min(population, key=lambda p: p.key(capacity))
 
 
@@ -175,14 +186,27 @@ def _pack_round(items: DataFrame, capacity: int, block_items: int, islands: int,
         F.lit(0).alias("source"), "key", "length", F.lit(0).cast("long").alias("bin"),
     )
     state = cut_lineage(dealt.groupBy("block", "island").applyInArrow(_island(capacity, generations, 0), _STATE))
-    for epoch in range(1, epochs):
-        # each island's elite also goes to the next island of its block
+    done = None
+    for epoch in range(1, epochs + 1):
+        best = cut_lineage(_best(state, capacity))
+        won = state.join(best.where("at_floor" if epoch < epochs else "true"), ["block", "island"], "left_semi")
+        done = won if done is None else done.unionByName(won)
+        open_blocks = best.where("NOT at_floor").select("block")
+        if epoch == epochs or open_blocks.isEmpty():
+            break
+        # blocks at the bound are done; of the others, each island's elite also goes to the next island
+        state = state.join(open_blocks, "block", "left_semi")
         arrived = state.withColumn("island", F.expr(f"cast((island + 1) % {islands} AS int)"))
         both = state.unionByName(arrived) if islands > 1 else state
         state = cut_lineage(both.groupBy("block", "island").applyInArrow(_island(capacity, generations, epoch), _STATE))
-    bins = state.groupBy("block", "island").agg((F.max("bin") + 1).alias("n"))
-    winner = bins.groupBy("block").agg(F.min_by("island", F.struct("n", "island")).alias("island"))
-    return state.join(winner, ["block", "island"]).select("key", "length", (F.col("block") * (1 << 24) + F.col("bin")).alias("bin"))
+    return done.select("key", "length", (F.col("block") * (1 << 24) + F.col("bin")).alias("bin"))
+
+
+def _best(state: DataFrame, capacity: int) -> DataFrame:
+    """(block, island, at_floor): each block's best island, and whether no packing has fewer bins."""
+    bins = state.groupBy("block", "island").agg((F.max("bin") + 1).alias("n"), F.sum("length").alias("tokens"))
+    best = bins.groupBy("block").agg(F.min_by("island", F.struct("n", "island")).alias("island"), F.min("n").alias("n"), F.max("tokens").alias("tokens"))
+    return best.select("block", "island", (F.col("n") <= F.ceil(F.col("tokens") / capacity)).alias("at_floor"))
 
 
 def pack(
@@ -191,8 +215,9 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Offsets fill each sequence from 0 without gaps. Null texts count as empty and take one token. Repeated rows are
-    packed each. An empty table gives an empty result; other columns are ignored. Results depend on the rows'
+    Offsets fill each sequence from 0 without gaps. Null texts count as empty and take one token; null ids stay null.
+    Repeated rows are packed each, ties among equal lengths included. A very long text is cut into full pieces and a
+    rest. An empty table gives an empty result; other columns are ignored. Results depend on the rows'
     order in the checkpoint only through which equal packing is found, never in what is packed.
     """
     cut = cut_lineage(pieces(docs, tokenizer, separator, capacity)).withColumn("key", F.monotonically_increasing_id())
@@ -209,15 +234,10 @@ def pack(
     kept = first.join(loads, F.col("bin") == F.col("b"), "left_anti")
     bins = kept.select("key", "length", (F.col("bin") * 4).alias("bin")).unionByName(second.select("key", "length", (F.col("bin") * 4 + 1).alias("bin")))
     # a bin holds at most ``capacity`` pieces, as each has a token at least
-    placed = bins.groupBy("bin").agg(F.array_sort(F.collect_list(F.struct("key", "length"))).alias("items"))
-    placed = placed.select(
-        "bin",
-        F.posexplode("items").alias("pos", "item"),
-        "items",
-    ).select(
-        F.col("bin").alias("sequence_id"), F.col("item.key").alias("k"),
-        F.expr("aggregate(slice(items, 1, pos), 0L, (a, x) -> a + x.length)").alias("offset"),
-    )
+    earlier = Window.partitionBy("bin").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = bins.select(
+        F.col("bin").alias("sequence_id"), F.col("key").alias("k"), F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("long").alias("offset")
+    )
     full = cut.where(F.col("length") == capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("key") * 4 + 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )

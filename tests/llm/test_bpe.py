@@ -111,3 +111,37 @@ def test_decode_in_a_plan(spark):
     df = spark.createDataFrame([*enumerate(rows), (300, []), (301, None)], "i int, ids array<int>")
     got = {r.i: r.t for r in df.select("i", bpe.decode(F.col("ids"), BYTE).alias("t")).collect()}
     assert [got[i] for i in range(300)] == [tok.decode(x, skip_special_tokens=False) for x in rows] and (got[300], got[301]) == ("", None)
+
+
+def test_evolution_works_at_production_settings(monkeypatch):
+    """Blocks start from next-fit groupings over the bound, and crossover brings them to it."""
+    import numpy as np
+
+    calls, cross = [], packing.offspring
+    monkeypatch.setattr(packing, "offspring", lambda *a: calls.append(1) or cross(*a))
+    rng = np.random.default_rng(4)
+    for n in (packing.BLOCK, 700):
+        sizes = np.minimum(2047, rng.lognormal(6, 1, n).astype(np.int64) + 1)
+        seed = packing.next_fit(sizes, packing.CAPACITY, rng)
+        assert seed.loads.max() <= packing.CAPACITY and len(seed.loads) > packing.floor(sizes, packing.CAPACITY)
+        calls.clear()
+        best = packing.evolve(sizes, packing.CAPACITY, [], rng, packing.GENERATIONS)
+        assert calls and best.loads.max() <= packing.CAPACITY and best.loads.sum() == sizes.sum()
+        assert len(best.loads) <= packing.floor(sizes, packing.CAPACITY) + 1
+
+
+def test_sequences_of_real_documents(spark):
+    """Islands, migration and the pool together reach the bound within a sequence."""
+    rows = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), WORD).collect()
+    assert len({r.sequence_id for r in rows}) <= -(-sum(r.length for r in rows) // packing.CAPACITY) + 1
+
+
+def test_migration_between_islands(spark):
+    """Blocks that miss the bound go through all epochs; nothing is lost on the way."""
+    rng_sizes = [(i, 700 + 13 * (i % 40)) for i in range(150)]
+    items = spark.createDataFrame(rng_sizes, "key long, length long")
+    placed = packing._pack_round(items, 2048, 50, 2, 3, 4).collect()
+    loads = {}
+    for r in placed:
+        loads[r.bin] = loads.get(r.bin, 0) + r.length
+    assert sorted((r.key, r.length) for r in placed) == rng_sizes and max(loads.values()) <= 2048
