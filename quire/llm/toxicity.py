@@ -1,10 +1,14 @@
 """Toxicity: a learned lexicon, matched through Levenshtein automata, weighed by context windows.
 
 The lexicon holds words, and stems of words (written with a final *), that labelled toxic documents use far more
-often than clean ones: of all that do, the few that cover the toxic documents. It is kept as a trie, in which the end of a stem loops on any letter. The trie is intersected with the Levenshtein automaton of each term's length (no error up to 4 letters, one up to 8, two
-beyond; for stems none up to 5 letters, one beyond) and the product is made deterministic as words are read, so a misspelled term costs one table lookup a
-letter. Each hit is weighed by the words around it: quotation marks, reporting verbs and talk about words speak for
-quotation, address in the second person for abuse. A logistic model turns a document's sums into a score.
+often than clean ones: of all that do, the few that cover the toxic documents. A stem counts for a document that has
+it twice or more, as any stem turns up once by chance. The lexicon is kept as a trie, in which the end of a stem loops
+on any letter. The trie is intersected with the Levenshtein automaton of each term's length (no error up to 4 letters,
+one up to 8, two beyond; for stems none up to 5 letters, one beyond) and the product is made deterministic as words
+are read, so a misspelled term costs one table lookup a letter. Digits and signs between letters are read as letters
+of a misspelled word ("idi0t"). Each hit is weighed by the words around it: quotation marks, reporting verbs and talk
+about words speak for quotation, address in the second person for abuse. A logistic model turns a document's sums
+into a score.
 """
 
 from __future__ import annotations
@@ -26,15 +30,14 @@ from quire.llm.common import bounded_sample, cut_lineage, fold
 
 #: Labelled documents that the fit may use; a hashed sample beyond that.
 FIT_ROWS = 12000
-#: Words of the lexicon at most; they are ranked by evidence.
-LEXICON_TERMS = 2000
-#: Words and stems looked at for it, the most frequent in toxic documents first.
-CANDIDATES = 50_000
 THRESHOLD = 0.7
 #: Lengths of the stems that are counted.
 STEMS = (4, 5, 6, 7)
 WINDOW = 5
+#: Words of a text that a stem has to stand at the beginning of.
+STEM_WORDS = 2
 _WORD = re.compile(r"[^\W\d_]+")
+_MIXED_WORD = re.compile(r"[^\W\d_]+(?:[0-9@$!*|]{1,2}[^\W\d_]+)*")
 _QUOTES = frozenset("\"'“”„«»‘’‹›`")
 _REPORT = frozenset(
     "said says say called calls quote quoted quotes wrote term word words phrase slur slurs insult insults "
@@ -154,37 +157,41 @@ class ToxicityModel:
     #: Words near a term that clean documents are known to use: no hits.
     clean: frozenset[str]
     weights: list[float]
+    #: Whether digits and signs between letters belong to a word.
+    mixed: bool = False
     _automaton: LexiconAutomaton | None = field(default=None, repr=False, compare=False)
-    _seen: dict[str, tuple[str, int] | None] = field(default_factory=dict, repr=False, compare=False)
 
     def __getstate__(self):
-        return {"terms": self.terms, "clean": self.clean, "weights": self.weights, "_automaton": None, "_seen": {}}
+        return {"terms": self.terms, "clean": self.clean, "weights": self.weights, "mixed": self.mixed, "_automaton": None}
+
+    @property
+    def words(self) -> re.Pattern[str]:
+        return _MIXED_WORD if self.mixed else _WORD
 
     def hit(self, word: str) -> tuple[str, int] | None:
         if self._automaton is None:
             self._automaton = LexiconAutomaton(self.terms)
         found = self._automaton.match(word)
-        if found and (found[1] or found[0].endswith("*")) and word in self.clean:
+        if found and found[1] and word in self.clean:
             return None
         return found
 
     def near(self, text: str | None) -> list[str]:
-        """Words of a text that hit a term without being it."""
-        return [w for w in set(_WORD.findall((text or "").lower())) if (h := self.hit(w)) and (h[1] or h[0].endswith("*"))]
+        """Words of a text that look like a misspelled term."""
+        return [w for w in set(self.words.findall((text or "").lower())) if (h := self.hit(w)) and h[1]]
 
     def features(self, text: str | None) -> list[float]:
-        """Sums over the hits of a text: exact, misspelled, different terms, abuse less quotation, the largest, density."""
+        """Sums over the hits of a text: exact, misspelled, different words, abuse less quotation, the largest, density."""
         low = (text or "").lower()
-        words = _WORD.findall(low)
         hits = {}
-        for w in set(words):
+        for w in set(self.words.findall(low)):
             found = self.hit(w)
             if found:
                 hits[w] = found
         if not hits:
             return [0.0] * 6
         exact = fuzzy = abuse = quoted = top = 0.0
-        spans = [m for m in _WORD.finditer(low)]
+        spans = list(self.words.finditer(low))
         for i, m in enumerate(spans):
             found = hits.get(m.group())
             if not found:
@@ -204,9 +211,8 @@ class ToxicityModel:
             else:
                 exact += weight
             top = max(top, weight)
-        different = len({t for t, e in hits.values()})
         return [
-            math.log1p(exact), math.log1p(fuzzy), math.log1p(different), math.log1p(abuse) - math.log1p(quoted), top,
+            math.log1p(exact), math.log1p(fuzzy), math.log1p(len(hits)), math.log1p(abuse) - math.log1p(quoted), top,
             100.0 * (exact + fuzzy) / (len(spans) + 100.0),
         ]
 
@@ -216,9 +222,14 @@ class ToxicityModel:
 
 
 def _keys(text: str | None) -> set[str]:
-    """Words of a text and their stems."""
-    words = set(_WORD.findall((text or "").lower()))
-    return {w for w in words if len(w) > 2} | {f"{w[:k]}*" for w in words for k in STEMS if len(w) > k}
+    """Words of a text, and the stems that enough of its words begin with."""
+    words = Counter(_WORD.findall((text or "").lower()))
+    stems: Counter[str] = Counter()
+    for w, n in words.items():
+        for k in STEMS:
+            if len(w) > k:
+                stems[w[:k]] += n
+    return {w for w in words if len(w) > 2} | {f"{s}*" for s, n in stems.items() if n >= STEM_WORDS}
 
 
 def key_counts(texts: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
@@ -299,29 +310,31 @@ def per_text(f, kind: str):
     return run
 
 
-def fit(labelled: DataFrame, most_terms: int = LEXICON_TERMS) -> ToxicityModel:
-    """Fits on rows (_text, _label: 0 or 1), which the caller bounds."""
+def fit(labelled: DataFrame) -> ToxicityModel:
+    """Fits on rows (_text, _label: 0 or 1), which the caller bounds; nothing else bounds the lexicon."""
     labelled = cut_lineage(labelled.select("_text", "_label"))
     toxic, clean = labelled.where("_label = 1"), labelled.where("_label = 0")
     n1, n0 = toxic.count(), clean.count()
     if not n1:
         return ToxicityModel({}, frozenset(), [math.log(0.5 / (n0 + 1.0))] + [0.0] * 6)
     support = max(2, math.ceil(0.004 * n1))
-    ones = key_counts(toxic).where(F.col("n") >= support).orderBy(F.desc("n"), "word").limit(CANDIDATES).collect()
+    ones = key_counts(toxic).where(F.col("n") >= support).collect()
     wanted = frozenset(r.word for r in ones)
     zeros = {r.word: r.n for r in key_counts(clean, wanted).collect()}
     odds = {r.word: math.log((r.n + 0.5) / (n1 + 1.0)) - math.log((zeros.get(r.word, 0) + 0.5) / (n0 + 1.0)) for r in ones}
     strong = frozenset(w for w, x in odds.items() if x > 2.5)
     held = per_text(lambda t: sorted(_keys(t) & strong), "array<string>")
-    picked = cover([r.k for r in toxic.select(held("_text").alias("k")).collect()], 3, support)[:most_terms]
+    picked = cover([r.k for r in toxic.select(held("_text").alias("k")).collect()], 3, support)
     terms = {w: min(6.0, odds[w]) for w in picked}
     # words that clean documents use and that look like a misspelled term
-    probe = ToxicityModel(terms, frozenset(), [])
+    probe = ToxicityModel(terms, frozenset(), [], mixed=True)
     near = per_text(probe.near, "array<string>")
-    common = clean.select(F.explode(near("_text")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    model = ToxicityModel(terms, frozenset(r.word for r in common.orderBy(F.desc("n"), "word").limit(CANDIDATES).collect()), [])
-    feats = per_text(model.features, "array<double>")
+    common = clean.select(F.explode(near("_text")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()
+    # a word of one clean document alone would be new if that document were; so the weights are fitted without it
+    probe.clean = frozenset(r.word for r in common if r.n > 1)
+    feats = per_text(probe.features, "array<double>")
     rows = labelled.select(feats("_text").alias("x"), "_label").collect()
+    model = ToxicityModel(terms, frozenset(r.word for r in common), [], mixed=True)
     x, y = np.array([r.x for r in rows]), np.array([r._label for r in rows], dtype=float)
     model.weights = [float(v) for v in fit_logistic(x, y)]
     return model
@@ -352,8 +365,9 @@ def score(model: ToxicityModel, text: Column) -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
-    Repeated rows and equal texts score alike; a document labelled twice counts as toxic if either label says so.
-    Without labels every score is low. An empty table gives an empty result; other columns are ignored.
+    Repeated rows and equal texts score alike; a document labelled twice counts as toxic if either label says so;
+    null labels are none. A null text counts as empty, null ids are kept, very long texts are read whole. Without
+    labels every score is low. An empty table gives an empty result; other columns are ignored.
     """
     model = fit(training_rows(docs, labels, "toxic"))
     return docs.select(
