@@ -1,8 +1,10 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are labelled good documents, the unlabelled set is a sample of the whole table, and a
-non-negative unbiased risk is minimised: pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)). No labelled negative is a
-training example; labels of both kinds only give the class prior pi, the labelled share of good documents.
+non-negative unbiased risk is minimised: pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)). No labelled negative is used,
+neither as an example nor for the class prior pi, which is estimated from positives and unlabelled rows alone: a
+classifier that tells one from the other is fitted on one half of both, and on the other half the share of unlabelled
+rows among its top scores, over the share of positives there, bounds the prior from above; the least bound is taken.
 """
 
 from __future__ import annotations
@@ -98,22 +100,45 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
     return model
 
 
+def risk(w: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The non-negative risk of logistic weights over design rows, without the ridge."""
+    log_p, log_u = np.logaddexp(0, positive @ w), np.logaddexp(0, unlabelled @ w)
+    # log(1 + e^z) is the loss of the negative label, and that less z of the positive
+    return prior * float((log_p - positive @ w).mean()) + max(0.0, float(log_u.mean()) - prior * float(log_p.mean()))
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, slack: float = 0.1) -> float:
+    """The share of positives among the unlabelled rows, by the best bin of held-out scores (features given).
+
+    The shares are known up to chance, so each bound is raised by what chance allows for its bin before the least is
+    taken. Between one unlabelled row's worth and 1.
+    """
+    fit_p, test_p, fit_u, test_u = positive[::2], positive[1::2], unlabelled[::2], unlabelled[1::2]
+    if not len(test_p) or not len(test_u):
+        return 0.5
+    model = fit_nnpu(fit_p, fit_u, 0.5)
+    p, u = np.sort(-model.score(test_p)), np.sort(-model.score(test_u))
+    upto_p = np.arange(1, len(p) + 1) / len(p)
+    upto_u = np.searchsorted(u, p, side="right") / len(u)
+    chance = math.sqrt(math.log(4 / slack) / 2) * (1 / math.sqrt(len(p)) + 1 / math.sqrt(len(u)))
+    best = int(np.argmin((upto_u + chance) / upto_p))
+    return float(min(1.0, max(1.0 / len(u), upto_u[best] / upto_p[best])))
+
+
 def _features(text: str) -> Column:
     return per_text(lambda t: features(t).tolist(), "array<double>")(text)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> QualityModel | None:
     """None if no training document is labelled good."""
-    rows = training_rows(docs, labels, "quality", most=FIT_ROWS).select(_features("_text").alias("x"), "_label").collect()
-    positive = np.array([r.x for r in rows if r._label == 1])
+    rows = training_rows(docs, labels, "quality", most=FIT_ROWS).where("_label = 1").select(_features("_text").alias("x")).collect()
+    positive = np.array([r.x for r in rows])
     if not len(positive):
         return None
-    # half a count for either label, so that a sample of one label gives no prior of 0 or 1
-    prior = (len(positive) + 0.5) / (len(rows) + 1.0)
     web = docs.where(fold("doc_id", 3) != 1).select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text"))
     web = bounded_sample(web, "_id", UNLABELLED_ROWS, web.count(), seed=23)
     unlabelled = np.array([r.x for r in web.select(_features("_text").alias("x")).collect()])
-    return fit_nnpu(positive, unlabelled, prior)
+    return fit_nnpu(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
 def score(model: QualityModel | None, text: Column) -> Column:
@@ -133,8 +158,9 @@ def score(model: QualityModel | None, text: Column) -> Column:
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
-    Equal texts score alike. A document labelled twice counts as good if either label says so. An empty table gives
-    an empty result; other columns are ignored.
+    Equal texts score alike. A document labelled twice counts as good if either label says so; null labels are none.
+    A null text counts as empty, null ids are kept, very long texts are read whole. Without a good label every score
+    is 0.5. An empty table gives an empty result; other columns are ignored.
     """
     model = fit(docs, labels)
     return docs.select(
