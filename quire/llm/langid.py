@@ -24,9 +24,12 @@ DIMENSIONS = 1024
 #: Labelled documents that prototypes are learned from; a hashed sample beyond that.
 FIT_ROWS = 12000
 UNDETERMINED = "und"
+#: Letters, and numerals that are none (fractions, Roman numerals), which ``_words`` parts.
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MASK = (1 << 21) - 1
 _TOGETHER = 64
+#: Different trigrams that are bound at a time.
+SLICE = 4096
 
 
 def letter_vectors(points: np.ndarray) -> np.ndarray:
@@ -41,34 +44,50 @@ def letter_vectors(points: np.ndarray) -> np.ndarray:
     return (bits.astype(np.int8) << 1) - 1
 
 
+def _words(text: str | None) -> str:
+    """Runs of letters (Unicode categories L*) in lower case, parted by one space."""
+    words = " ".join(_LETTERS.findall((text or "").lower()))
+    if words.replace(" ", "").isalpha():
+        return words
+    return " ".join("".join(c if c.isalpha() else " " for c in words).split())
+
+
 def trigram_codes(text: str | None) -> np.ndarray:
     """Trigrams over lower-case letters, words parted by one space; empty without letters."""
-    words = _LETTERS.findall((text or "").lower())
+    words = _words(text)
     if not words:
         return np.zeros(0, np.uint64)
-    p = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    p = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     return (p[:-2] << np.uint64(42)) | (p[1:-1] << np.uint64(21)) | p[2:]
 
 
 def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """A unit vector for each text, and whether it has letters."""
-    codes = [trigram_codes(t) for t in texts]
+    """A unit vector for each text, and whether it has letters.
+
+    Counts are kept for the trigrams that are there, and a slice of the different trigrams is bound and bundled at a
+    time, so memory is bounded by the slice and the texts' own length.
+    """
+    # each text's own trigrams and counts; long texts shrink here
+    held = [np.unique(trigram_codes(t), return_counts=True) for t in texts]
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
-    sizes = np.array([len(c) for c in codes])
+    sizes = np.array([len(c) for c, _ in held])
     if not sizes.sum():
         return out, sizes > 0
-    seen, at = np.unique(np.concatenate(codes), return_inverse=True)
+    codes, counts = np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held])
     row = np.repeat(np.arange(len(texts)), sizes)
-    counts = np.bincount(row * len(seen) + at, minlength=len(texts) * len(seen)).reshape(len(texts), -1).astype(np.float32)
-    parts = np.stack([(seen >> np.uint64(s)) & np.uint64(_MASK) for s in (42, 21, 0)])
-    points, index = np.unique(parts, return_inverse=True)
-    index = index.reshape(parts.shape)
-    letters = letter_vectors(points)
-    turned = [np.roll(letters, shift, axis=1) for shift in (2, 1, 0)]
-    for lo in range(0, len(seen), 8192):
-        part = slice(lo, lo + 8192)
-        bound = turned[0][index[0, part]] * turned[1][index[1, part]] * turned[2][index[2, part]]
-        out += counts[:, part] @ bound.astype(np.float32)
+    order = np.argsort(codes, kind="stable")
+    codes, counts, row = codes[order], counts[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    for lo in range(0, len(first), SLICE):
+        begin, end = first[lo], first[lo + SLICE] if lo + SLICE < len(first) else len(codes)
+        seen = codes[first[lo : lo + SLICE]]
+        at = np.searchsorted(seen, codes[begin:end])
+        part = np.bincount(row[begin:end] * len(seen) + at, counts[begin:end], minlength=len(texts) * len(seen))
+        letters = np.stack([(seen >> np.uint64(s)) & np.uint64(_MASK) for s in (42, 21, 0)])
+        points, index = np.unique(letters, return_inverse=True)
+        index, vectors = index.reshape(letters.shape), letter_vectors(points)
+        bound = np.roll(vectors, 2, axis=1)[index[0]] * np.roll(vectors, 1, axis=1)[index[1]] * vectors[index[2]]
+        out += part.reshape(len(texts), -1).astype(np.float32) @ bound.astype(np.float32)
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.maximum(norms, 1e-9), sizes > 0
 
@@ -144,8 +163,9 @@ def language_id(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score.
 
     Learns from rows with a language outside the held-out fold. A text that is null or has no letters is ``und``
-    with score 0, and so is every text if nothing can be learned. Ties go to the first language by name. An empty
-    table gives an empty result; other columns are ignored.
+    with score 0, and so is every text if nothing can be learned. Ties go to the first language by name. Null ids are
+    kept, repeated rows get a row each, very long texts are read whole. An empty table gives an empty result; other
+    columns are ignored.
     """
     known = docs.where(F.col("lang").isNotNull() & (fold("doc_id", 4) != 2))
     known = bounded_sample(known, "doc_id", FIT_ROWS, known.count())
