@@ -25,6 +25,8 @@ from quire.llm.common import ASCII_LOWER, cut_lineage
 SEED = 42
 #: Members above which a variant is cut again. At least 2,048, so the last cut always suffices.
 MAX_GROUP = 2048
+#: Fingerprints whose keys one task makes.
+EXPANDED_TOGETHER = 50_000
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -250,12 +252,14 @@ def simhash_groups(
 
     component_id is the smallest id reachable over links of ``max_bits`` differing bits or fewer. A text without
     words, null or empty, has fingerprint zero and is linked like any other. Repeated rows get a row each; null
-    ids take part and are never the smallest unless alone. An empty table gives an empty result; other columns
-    are ignored.
+    ids take part and are never the smallest unless alone. A very long text is read whole, its shingles' bits in slices.
+    An empty table gives an empty result; other columns are ignored.
     """
     marked = cut_lineage(fingerprints(docs, id_col, text_col, width))
     distinct = cut_lineage(marked.groupBy("fp").agg(F.min("_id").alias("least")))
-    roots = components(links(distinct, max_bits, max_group))
+    # few bytes, but 64 keys each: a task for every so many fingerprints, whatever their size
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-distinct.count() // EXPANDED_TOGETHER))
+    roots = components(links(distinct.select("fp").repartition(parts, "fp"), max_bits, max_group))
     placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id")).select(_apart("root").alias("r"), "component_id")
     by_fp = cut_lineage(placed.join(smallest, _apart("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"))
