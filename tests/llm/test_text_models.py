@@ -75,6 +75,68 @@ def held_out(table, spark, f, label, folds, at):
     return np.mean([r.predicted == r[label] for r in rows])
 
 
+def test_mixed_words():
+    """With ``mixed``, as fit sets it, digits and signs between letters are letters of a misspelled word."""
+    m = toxicity.ToxicityModel({"idiot": 4.0, "worthless": 3.0}, frozenset(), [-3.0, 1.0, 1.0, 1.0, 1.0, 0.5, 0.1], mixed=True)
+    assert min(m.score("an idi0t "), m.score("w0rthl3ss"), m.score("id!ot")) > m.score("") == m.score("idi 0t 3 $ ot")
+
+
+def test_stems_need_two_words():
+    keys = toxicity._keys("abcdef abcdxy other")
+    assert "abcd*" in keys and "abcde*" not in keys and "othe*" not in keys and {"abcdef", "abcdxy", "other"} <= keys
+    assert "abcd*" in toxicity._keys("abcdef abcdef") and "abcdef*" not in toxicity._keys("abcdef abcdef")
+
+
+def test_toxicity_recall_and_precision(spark):
+    """Two of the 18 held-out toxic documents of sf0.01 hold no marked word at all."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    caught = sum(r.predicted and r.toxic for r in rows)
+    assert caught >= 0.88 * sum(r.toxic for r in rows) and caught >= 0.95 * sum(r.predicted for r in rows)
+
+
+def test_risk_against_loops():
+    rng = np.random.default_rng(1)
+    p, u, w = rng.normal(1, 1, (20, 3)), rng.normal(0, 1, (30, 3)), np.array([0.3, -0.2, 0.5])
+    for prior in (0.2, 0.9):
+        loss = lambda x, sign: np.log(1 + np.exp(-sign * float(x @ w)))
+        r_p = sum(loss(x, 1) for x in p) / 20
+        negative = sum(loss(x, -1) for x in u) / 30 - prior * sum(loss(x, -1) for x in p) / 20
+        assert abs(quality.risk(w, p, u, prior) - (prior * r_p + max(0, negative))) < 1e-9
+
+
+def test_fit_lowers_the_risk():
+    rng = np.random.default_rng(2)
+    p, u = rng.normal(1.5, 1, (400, 4)), np.vstack([rng.normal(1.5, 1, (300, 4)), rng.normal(-1.5, 1, (700, 4))])
+    model = quality.fit_nnpu(p, u, 0.3)
+    best = quality.risk(model.weights, model.design(p), model.design(u), 0.3)
+    for _ in range(50):
+        other = model.weights + rng.normal(0, 0.5, len(model.weights))
+        assert best <= quality.risk(other, model.design(p), model.design(u), 0.3) + 0.02
+
+
+def test_prior_of_a_known_mixture():
+    rng = np.random.default_rng(3)
+    for share in (0.2, 0.5, 0.85):
+        u = np.vstack([rng.normal(2, 1, (int(4000 * share), 4)), rng.normal(-2, 1, (4000 - int(4000 * share), 4))])
+        found = quality.estimate_prior(rng.normal(2, 1, (2000, 4)), u[rng.permutation(len(u))])
+        assert abs(found - share) < 0.05
+    assert quality.estimate_prior(np.ones((1, 4)), np.ones((5, 4))) == 0.5
+
+
+def test_letters_by_category():
+    assert langid._words("a½b ² Ⅷ Cé_1日本") == "a b cé 日本" and langid.bundles(["½ ² Ⅷ"])[1].tolist() == [False]
+
+
+def test_bundles_in_slices(monkeypatch):
+    texts = ["some words that make trigrams", None, "日本語 " * 50, "andere Wörter hier", ""]
+    want = langid.bundles(texts)
+    monkeypatch.setattr(langid, "SLICE", 3)
+    got = langid.bundles(texts)
+    assert np.allclose(got[0], want[0], atol=1e-5) and got[1].tolist() == want[1].tolist()
+
+
 def test_toxicity_held_out(spark):
     assert held_out("documents", spark, toxicity.toxicity, "toxic", 3, 1) > 0.94
 
