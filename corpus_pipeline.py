@@ -1,7 +1,10 @@
 """From raw documents to packed training sequences, in five stages of the operators.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and, but for the last, returns the
-columns of documents. Null texts count as empty and null ids are kept throughout.
+columns of documents, further ones included. Null texts count as empty and null ids are kept throughout; rows that
+repeat an id share its verdict. Empty texts score like any other and are copies of each other. Very long texts are
+read whole. An empty table gives an empty result in every stage. ``run`` writes each stage's rows as Parquet and reads
+them again, so that no stage works out the ones before it anew.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import exact_dedup, packing, quality, simhash, toxicity
+from quire.llm.common import fresh_name, write_and_read
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -27,16 +31,20 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.where(quality.score(model, F.col("text")) >= quality.THRESHOLD)
 
 
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows whose doc_id is not among ``dropped``; null ids are never dropped."""
+    key = fresh_name(docs, "_dropped")
+    return docs.join(dropped.select(F.col("doc_id").alias(key)), F.col("doc_id") == F.col(key), "left_anti")
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id."""
-    copies = exact_dedup.exact_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("_copy"))
-    return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    return _without(docs, exact_dedup.exact_dedup(docs).where("NOT kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the row with the smallest doc_id."""
-    copies = simhash.simhash_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_copy"))
-    return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    return _without(docs, simhash.simhash_groups(docs).where("doc_id <> component_id"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,6 +66,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = write_and_read(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
