@@ -37,25 +37,31 @@ def fix_radicals(text: Column) -> Column:
 
 def cjk_spacing(text: Column) -> Column:
     """No space between CJK characters, one between CJK and letters or digits, runs of white space become one."""
-    t = F.regexp_replace(text, rf"[{SPACE}]+", " ")
-    t = F.regexp_replace(t, "^ | $", "")
-    t = F.regexp_replace(t, rf"(?<=[{CJK}]) (?=[{CJK}])", "")
-    return F.regexp_replace(t, rf"(?<=[{CJK}])(?={_LETTER_DIGIT})|(?<={_LETTER_DIGIT})(?=[{CJK}])", " ")
+    t = F.trim(F.regexp_replace(text, rf"[{SPACE}]+", " "))
+    tight = F.regexp_replace(t, rf"(?<=[{CJK}]) (?=[{CJK}])", "")
+    spaced = F.regexp_replace(tight, rf"(?<=[{CJK}])(?={_LETTER_DIGIT})|(?<={_LETTER_DIGIT})(?=[{CJK}])", " ")
+    # most texts of other scripts are done after the first step
+    return F.when(text.rlike(f"[{CJK}]"), spaced).otherwise(t)
 
 
 def join_lines(texts: Column) -> Column:
-    """An array of lines as one text: a space between two, unless either side of the seam is CJK or empty."""
+    """An array of lines as one text: a space between two, unless either side of the seam is CJK; empty lines add nothing.
 
-    def seam(joined: Column, line: Column) -> Column:
-        tight = (joined == "") | (line == "") | joined.rlike(rf"[{CJK}]\z") | line.rlike(rf"\A[{CJK}]")
-        return F.when(tight, F.concat(joined, line)).otherwise(F.concat(joined, F.lit(" "), line))
+    Each seam is told from the last character before it and the first after it, and all parts are joined at once.
+    """
+    lines = F.filter(texts, lambda x: x != "")
+    before = F.concat(F.array(F.lit("")), F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))))
 
-    return F.aggregate(texts, F.lit(""), seam)
+    def with_seam(line: Column, last: Column) -> Column:
+        ends = F.concat(F.substring(last, -1, 1), F.substring(line, 1, 1))
+        return F.when((last == "") | ends.rlike(f"[{CJK}]"), line).otherwise(F.concat(F.lit(" "), line))
+
+    return F.array_join(F.zip_with(lines, before, with_seam), "")
 
 
 def tokens(text: Column) -> Column:
-    """CJK characters one by one, runs of white space, runs of anything else."""
-    return F.regexp_extract_all(text, F.lit(rf"[{CJK}]|[{SPACE}]+|[^{CJK}{SPACE}]+"), 0)
+    """CJK characters one by one (U+3000 is one), runs of white space, runs of anything else."""
+    return F.regexp_extract_all(text, F.lit(rf"[{CJK}]|[{SPACE}&&[^{CJK}]]+|[^{CJK}{SPACE}]+"), 0)
 
 
 def utf16_length(text: Column) -> Column:

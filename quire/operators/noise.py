@@ -36,20 +36,20 @@ def learned_titles(lines: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFr
 
 
 def flag_patterns(rows: DataFrame, name: str = "is_noise") -> DataFrame:
-    """Adds whether a row is a URL, a date, a URL with a counter, or a counter on a page that has one of those."""
-    t = trim_space(F.col("text"))
+    """Adds whether a row is a URL, a date, a URL with a counter, or a counter on a page that has one of those; and _t, the trimmed text."""
+    t = F.col("_t")
     lead = t.rlike(URL_LINE) | t.rlike(DATE_LINE) | t.rlike(URL_COUNTER_LINE)
     page = Window.partitionBy("doc_id", "page")
-    flagged = rows.withColumn("_lead", lead).withColumn("_with", F.max("_lead").over(page))
-    return flagged.withColumn(name, F.coalesce(F.col("_lead") | (t.rlike(COUNTER_LINE) & F.col("_with")), F.lit(False))).drop("_lead", "_with")
+    marked = rows.withColumn("_t", trim_space(F.col("text"))).withColumn("_lead", lead).withColumn("_counter", t.rlike(COUNTER_LINE))
+    flagged = marked.withColumn("_with", F.max("_lead").over(page))
+    return flagged.withColumn(name, F.coalesce(F.col("_lead") | (F.col("_counter") & F.col("_with")), F.lit(False))).drop("_lead", "_counter", "_with")
 
 
 def flag_noise(rows: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """Adds is_noise. ``titles`` (doc_id, title) are the document's own running titles if not given."""
     titles = running_titles(rows) if titles is None else titles
     known = titles.select("doc_id", F.col("title").alias("_t"), F.lit(True).alias("_known"))
-    keyed = flag_patterns(rows, "_pattern").withColumn("_t", trim_space(F.col("text")))
-    joined = keyed.join(known, ["doc_id", "_t"], "left")
+    joined = flag_patterns(rows, "_pattern").join(known, ["doc_id", "_t"], "left")
     return joined.withColumn("is_noise", F.col("_pattern") | F.coalesce("_known", F.lit(False))).drop("_t", "_known", "_pattern")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.geometry import destination_y
+from quire.plans.stage import cut
 
 
 def flatten(nodes: DataFrame) -> DataFrame:
@@ -21,11 +22,11 @@ def flatten(nodes: DataFrame) -> DataFrame:
     while not level.isEmpty():
         above = level.select(F.col("doc_id").alias("d"), F.col("id").alias("pid"), F.col("depth").alias("pdepth"), F.col("path").alias("ppath"))
         joined = children.join(above, (F.col("doc_id") == F.col("d")) & (F.col("parent") == F.col("pid")))
-        level = joined.select(
+        level = cut(joined.select(
             "doc_id", F.col("cid").alias("id"), "parent", F.col("cord").alias("ord"), "title", "page", "dest_type", "top", "page_height",
             (F.col("pdepth") + 1).alias("depth"),
             F.array_append("ppath", F.struct(F.col("cord").cast("long").alias("ord"), F.col("cid").cast("long").alias("id"))).alias("path"),
-        )
+        ))
         found = found.unionByName(level)
     order = Window.partitionBy("doc_id").orderBy("path")
     kept = found.where("page IS NOT NULL").withColumn("entry_seq", (F.row_number().over(order) - 1).cast("int"))

@@ -23,29 +23,38 @@ _PAGE = ["doc_id", "page"]
 def merge_runs(lines: DataFrame) -> DataFrame:
     """(doc_id, page, seq, y, text, font_size, is_bold): rows at the height of a run's first row, as one.
 
-    A page's rows are folded in order, since a run is held to its first row and not to the row before.
+    A step of three tolerances between neighbours ends a run in any case. What lies between two such steps is a run if
+    all of it is at its first row's height; only where heights drift are rows folded in order, as a run is held to its
+    first row and not to the row before.
     """
+    order = Window.partitionBy(*_PAGE).orderBy("seq")
+    step = F.coalesce(F.abs(F.col("y") - F.lag("y").over(order)) >= F.lit(3 * SAME_LINE).cast("float"), F.lit(True))
+    stretches = lines.withColumn("_step", step.cast("int")).withColumn("_stretch", F.sum("_step").over(order))
     row = F.struct("seq", "y", "text", "font_size", "is_bold")
-    pages = lines.groupBy(*_PAGE).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    start = F.struct(F.lit(None).cast("float").alias("y"), F.lit(-1).alias("run"), F.array().cast("array<int>").alias("runs"))
-
-    def step(acc: Column, r: Column) -> Column:
-        same = F.coalesce(F.abs(r.y - acc.y) < F.lit(SAME_LINE).cast("float"), F.lit(False))
-        run = F.when(same, acc.run).otherwise(acc.run + 1)
-        return F.struct(F.when(same, acc.y).otherwise(r.y).alias("y"), run.alias("run"), F.array_append(acc.runs, run).alias("runs"))
-
-    runs = pages.select(*_PAGE, "rows", F.aggregate("rows", start, step, lambda a: a.runs).alias("runs"))
-    flat = runs.select(*_PAGE, F.explode(F.arrays_zip("rows", "runs")).alias("z")).select(*_PAGE, F.col("z.runs").alias("run"), "z.rows.*")
-    return (
-        flat.groupBy(*_PAGE, "run")
-        .agg(
-            F.min("seq").alias("seq"),
-            F.min_by("y", "seq").alias("y"),
-            F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("parts"),
-            F.max("font_size").alias("font_size"),
-            F.max("is_bold").alias("is_bold"),
-        )
-        .select(*_PAGE, "seq", "y", join_lines(F.col("parts.text")).alias("text"), "font_size", "is_bold")
+    grouped = stretches.groupBy(*_PAGE, "_stretch").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+    def level(r: Column, y: Column) -> Column:
+        return F.coalesce(F.abs(r.y - y) < F.lit(SAME_LINE).cast("float"), F.lit(False))
+
+    kind = "array<array<struct<seq:bigint,y:float,text:string,font_size:float,is_bold:boolean>>>"
+    start = F.struct(F.array().cast(kind).alias("done"), F.array().cast(kind[6:-1]).alias("run"))
+
+    def fold(acc: Column, r: Column) -> Column:
+        same = (F.size(acc.run) > 0) & level(r, F.get(acc.run, 0).y)
+        done = F.when(same | (F.size(acc.run) == 0), acc.done).otherwise(F.array_append(acc.done, acc.run))
+        return F.struct(done.alias("done"), F.when(same, F.array_append(acc.run, r)).otherwise(F.array(r)).alias("run"))
+
+    rows = F.col("rows").cast(kind[6:-1])
+    one = (F.size("rows") == 1) | F.forall("rows", lambda r: level(r, F.get(F.col("rows"), 0).y))
+    runs = F.when(one, F.array(rows)).otherwise(F.aggregate(rows, start, fold, lambda acc: F.array_append(acc.done, acc.run)))
+    flat = grouped.select(*_PAGE, F.explode(runs).alias("run"))
+    return flat.select(
+        *_PAGE,
+        F.get("run", 0).seq.cast(lines.schema["seq"].dataType).alias("seq"),
+        F.get("run", 0).y.alias("y"),
+        join_lines(F.col("run.text")).alias("text"),
+        F.array_max("run.font_size").alias("font_size"),
+        F.array_max("run.is_bold").alias("is_bold"),
     )
 
 

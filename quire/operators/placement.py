@@ -26,16 +26,24 @@ def place_by_page(images: DataFrame, paras: DataFrame) -> DataFrame:
 
 
 def place_regions(regions: DataFrame, paras: DataFrame) -> DataFrame:
-    """Adds after_idx to regions (doc_id, page, top_y): the last paragraph that starts before them, -1 without any."""
-    cols = ["doc_id", "page", "y", "kind", "para_idx"]
-    texts = paras.select("doc_id", "page", F.col("top_y").cast("double").alias("y"), F.lit(1).alias("kind"), "para_idx")
-    marks = regions.select("doc_id", "page", F.col("top_y").cast("double").alias("y"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("para_idx"))
+    """Adds after_idx to regions (doc_id, page, top_y): the last paragraph that starts before them, -1 without any.
+
+    Paragraphs of the region's own page are compared by height, within that page; of earlier pages only the last
+    paragraph counts, one row a page.
+    """
+    none = F.lit(None).cast("int")
+    marks = regions.select(*_PAGE, F.col("top_y").cast("double").alias("_y")).distinct()
+    texts = paras.select(*_PAGE, F.col("top_y").cast("double").alias("_y"), F.lit(1).alias("kind"), F.col("para_idx").cast("int").alias("idx"))
     # a region sorts before paragraphs at its own height, which do not start before it
-    order = Window.partitionBy("doc_id").orderBy("page", "y", "kind").rowsBetween(*_UPTO)
-    both = texts.select(cols).unionByName(marks.distinct().select(cols)).withColumn("after_idx", F.coalesce(F.max("para_idx").over(order), F.lit(-1)))
-    found = both.where("kind = 0").select("doc_id", "page", F.col("y").alias("_y"), "after_idx")
-    keyed = regions.withColumn("_y", F.col("top_y").cast("double"))
-    return keyed.join(found, ["doc_id", "page", "_y"]).drop("_y")
+    height = Window.partitionBy(*_PAGE).orderBy("_y", "kind").rowsBetween(*_UPTO)
+    both = texts.unionByName(marks.select(*_PAGE, "_y", F.lit(0).alias("kind"), none.alias("idx"))).withColumn("own_idx", F.max("idx").over(height))
+    own = both.where("kind = 0").select(*_PAGE, "_y", "own_idx")
+    pages = paras.groupBy(*_PAGE).agg(F.max("para_idx").cast("int").alias("idx")).unionByName(marks.select(*_PAGE).distinct().select(*_PAGE, none.alias("idx")))
+    before = Window.partitionBy("doc_id").orderBy("page").rangeBetween(Window.unboundedPreceding, -1)
+    # RANGE needs a number: pages are whole
+    earlier = pages.withColumn("earlier_idx", F.max("idx").over(before)).groupBy(*_PAGE).agg(F.max("earlier_idx").alias("earlier_idx"))
+    found = own.join(earlier, _PAGE).select(*_PAGE, "_y", F.coalesce(F.greatest("own_idx", "earlier_idx"), F.lit(-1)).alias("after_idx"))
+    return regions.withColumn("_y", F.col("top_y").cast("double")).join(found, [*_PAGE, "_y"]).drop("_y")
 
 
 def without_table_pages(images: DataFrame, regions: DataFrame) -> DataFrame:
@@ -67,6 +75,24 @@ def stitched_strips(images: DataFrame) -> DataFrame:
     return good.select(*_PAGE, F.col("total").alias("width"), "height", "n_strips")
 
 
+def stitched_pixels(images: DataFrame) -> DataFrame:
+    """(doc_id, page, width, height, pixels) of the pages that ``stitched_strips`` finds: RGB bytes of the strips side by side.
+
+    ``images`` also has ``pixels``, row by row; a strip whose bytes do not fit its size makes the page's pixels null.
+    """
+    pages = stitched_strips(images)
+    strips = images.select(*_PAGE, F.struct("img_seq", F.col("width").alias("w"), "pixels").alias("strip")).join(pages, _PAGE)
+    held = strips.groupBy(*_PAGE, "width", "height").agg(F.array_sort(F.collect_list("strip")).alias("strips"))
+    whole = F.forall("strips", lambda s: F.coalesce(F.octet_length(s.pixels) == s.w * F.col("height") * 3, F.lit(False)))
+
+    def row(y: Column) -> Column:
+        parts = F.transform("strips", lambda s: F.hex(F.substring(s.pixels, y * s.w * 3 + 1, s.w * 3)))
+        return F.array_join(parts, "")
+
+    rows = F.transform(F.sequence(F.lit(0), F.col("height") - 1), row)
+    return held.select(*_PAGE, "width", "height", F.when(whole, F.unhex(F.array_join(rows, ""))).alias("pixels"))
+
+
 def blocks(texts: DataFrame, table_images: DataFrame, images: DataFrame, full_pages: DataFrame | None = None) -> DataFrame:
     """(doc_id, page, block_idx, kind, text, is_heading, image_ref) in reading order of each page.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import is_blank
+
 # fixed values: (lowest, highest, default) of each setting
 SETTINGS = {
     "font_size": (12, 32, 16),
@@ -12,8 +14,9 @@ SETTINGS = {
     "padding": (8, 32, 16),
     "block_spacing": (0, 32, 12),
 }
-EMPTY_MESSAGE = "未能从这份 PDF 中提取到可显示的文字或图片内容（可能是扫描图片、无文字层的 PDF）"
-ERROR_MESSAGE = "打开 PDF 失败，请确认文件是有效的 PDF 且未加密"
+#: Messages of a document without content, and of a failure that says nothing itself.
+EMPTY_MESSAGE = "Nothing to show: no text and no images were found."
+ERROR_MESSAGE = "This document cannot be read."
 
 
 def content_key(content: Column) -> Column:
@@ -43,13 +46,13 @@ def clamp_settings(settings: DataFrame) -> DataFrame:
 
 
 def load_state(pages: Column, error: Column, failed: Column) -> Column:
-    """struct(state, page_count, message) of a loading result."""
-    said = F.when(F.trim(F.coalesce(error, F.lit(""))) != "", error).otherwise(F.lit(ERROR_MESSAGE))
-    ok = ~failed & (pages > 0)
+    """struct(state, page_count, message) of a loading result; a null number of pages counts as none."""
+    said = F.when(~is_blank(F.coalesce(error, F.lit(""))), error).otherwise(F.lit(ERROR_MESSAGE))
+    ok = ~failed & F.coalesce(pages > 0, F.lit(False))
     return F.struct(
         F.when(ok, "success").otherwise("error").alias("state"),
         F.when(ok, pages).alias("page_count"),
-        F.when(failed, said).when(pages <= 0, F.lit(EMPTY_MESSAGE)).alias("message"),
+        F.when(failed, said).when(~ok, F.lit(EMPTY_MESSAGE)).alias("message"),
     )
 
 

@@ -13,6 +13,47 @@ MIN_CLUSTERS = 3
 _PAGE = ["doc_id", "page"]
 
 
+def path_segments(ops: DataFrame) -> DataFrame:
+    """Segments (doc_id, page, path_seq, seg_seq, x1, y1, x2, y2, painted) of path operations.
+
+    ``ops``: doc_id, page, op_seq, op, x, y, and w, h of rectangles. ``rect`` gives its four edges, ``line`` a line
+    from the current point, ``close`` one back to where the subpath began; ``move`` and ``curve`` only move the
+    point. ``stroke``, ``fill`` and ``both`` end a path and paint it, ``discard`` ends it unpainted, and so does the
+    page's end. ``path_seq`` numbers the paths of a page from 1.
+    """
+    page = Window.partitionBy(*_PAGE).orderBy("op_seq")
+    earlier = page.rowsBetween(Window.unboundedPreceding, -1)
+    later = page.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    op, zero = F.col("op"), F.lit(0.0).cast("float")
+    ends = op.isin("stroke", "fill", "both", "discard")
+
+    def last(value: Column) -> Column:
+        return F.coalesce(F.last(value, ignorenulls=True).over(earlier), zero)
+
+    begun = ops.select("*", *(last(F.when(op.isin("move", "rect"), F.col(c))).alias(f"s{c}") for c in "xy"))
+    after = {c: F.when(op.isin("move", "line", "curve", "rect"), F.col(c)).when(op == "close", F.col(f"s{c}")) for c in "xy"}
+    placed = begun.select(
+        "*",
+        *(last(after[c]).alias(f"c{c}") for c in "xy"),
+        (F.coalesce(F.count_if(ends).over(earlier), F.lit(0)) + 1).alias("path_seq"),
+        F.coalesce(F.first(F.when(ends, op != "discard"), ignorenulls=True).over(later), F.lit(False)).alias("painted"),
+    )
+    right, bottom = (F.col("x") + F.col("w")).cast("float"), (F.col("y") + F.col("h")).cast("float")
+
+    def edge(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+        return F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+
+    x, y, cx, cy = F.col("x"), F.col("y"), F.col("cx"), F.col("cy")
+    edges = (
+        F.when(op == "rect", F.array(edge(x, y, right, y), edge(right, y, right, bottom), edge(right, bottom, x, bottom), edge(x, bottom, x, y)))
+        .when(op == "line", F.array(edge(cx, cy, x, y)))
+        .when(op == "close", F.array(edge(cx, cy, F.col("sx"), F.col("sy"))))
+    )
+    found = placed.select(*_PAGE, "op_seq", "path_seq", "painted", F.posexplode(edges).alias("nth", "e"))
+    numbered = Window.partitionBy(*_PAGE, "path_seq").orderBy("op_seq", "nth")
+    return found.select(*_PAGE, "path_seq", (F.row_number().over(numbered) - 1).alias("seg_seq"), "e.*", "painted")
+
+
 def capped_segments(segments: DataFrame, most: int = MAX_SEGMENTS) -> DataFrame:
     """Painted segments up to the first path that would bring a page over ``most``; that path and later ones are left out.
 

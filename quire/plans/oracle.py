@@ -92,6 +92,18 @@ _SEGMENTS = """items AS (
   FROM grids JOIN (SELECT * FROM boxes WHERE axis = 'h') h USING (page) JOIN (SELECT * FROM boxes WHERE axis = 'v') v USING (page)
   WHERE h.x0 <= v.x9 AND v.x0 <= h.x9 AND h.y0 <= v.y9 AND v.y0 <= h.y9)"""
 
+_PATHS = """ops AS (
+  SELECT 1::BIGINT AS doc_id, p_partkey // 4 AS page, p_partkey AS p, p_partkey % 4 AS e, p_partkey % 3 = 0 AS goes_on, p_size::FLOAT AS s, (p_partkey % 100)::FLOAT AS q FROM part
+), ends AS (
+  SELECT *, coalesce(sum(CASE WHEN goes_on THEN 1 ELSE 2 END) OVER (PARTITION BY page ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS path,
+         lead(e) OVER (PARTITION BY page ORDER BY p) AS next_e FROM ops
+), edges AS (
+  SELECT doc_id, page, path AS path_seq, p * 10 + k AS k, 0 AS s, x1, y1, x2, y2, e <> 2 AS painted FROM ends,
+    LATERAL (VALUES (1, s, 10, s + 100, 10), (3, s + 100, 200, s, 200), (4, s, 200, s, 10)) v(k, x1, y1, x2, y2)
+  UNION ALL
+  SELECT doc_id, page, path + 1, p * 10 + k, n, x1, y1, x2, y2, CASE WHEN goes_on THEN coalesce(next_e <> 2, false) ELSE true END FROM ends,
+    LATERAL (VALUES (6, 0, q, s, q + 30, s), (6, 1, q + 30, s, q + 30, s + 20), (6, 2, q + 30, s + 20, q, s + 20), (6, 3, q, s + 20, q, s), (7, 0, q, s, 7, 8)) v(k, n, x1, y1, x2, y2))"""
+
 _IMAGES = """b_images AS (
   SELECT 1::BIGINT AS doc_id, conv_id AS page, turn AS img_seq, CASE WHEN turn = max(turn) OVER (PARTITION BY conv_id) THEN 19 ELSE 125 END AS width,
          1078 + CASE WHEN conv_id % 5 = 0 THEN turn % 2 ELSE 0 END AS height FROM conversations)"""
@@ -128,13 +140,13 @@ _CJK = _twice(f"trim(regexp_replace(text, '{_W}', ' ', 'g'))", f"({_C}) ({_C})",
 _CJK = _twice(_twice(_CJK, f"({_C})({_LD})", r"\1 \2"), f"({_LD})({_C})", r"\1 \2")
 _CJK_ROWS = _LINES + ", b_cjk AS (SELECT doc_id, page, seq, regexp_replace(translate(text, 'aeiou', '中文测试页'), '[^A-Za-z0-9À-ɏ 中文测试页]', '', 'g') AS text FROM b_lines)"
 
-_DOCUMENT = _NOISE + ", styled AS (SELECT *, (72 + 14 * trunc(seq / 2) + 20 * trunc(seq / 8))::FLOAT AS y, 12::FLOAT AS font_size, false AS is_bold FROM b_noise), "
+_DOCUMENT = _NOISE + ", styled AS (SELECT *, (72 + 14 * trunc(seq / 2) + 20 * trunc(seq / 8))::FLOAT AS y, 12::FLOAT AS font_size, false AS is_bold FROM b_noise WHERE NOT (page % 7 = 0 AND 72 + 14 * trunc(seq / 2) + 20 * trunc(seq / 8) BETWEEN 94 AND 206)), "
 _DOCUMENT += _paras("styled", "doc_id") + ", " + _flags("paras")
 _DOCUMENT += ", kept AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY para_idx) - 1)::BIGINT AS para_idx, page, top_y, text, font_size, is_bold FROM flagged WHERE NOT is_noise)"
 
 _PAGE_BLOCKS = (
     _NOISE
-    + ", styled AS (SELECT *, (72 + 14 * trunc(seq / 2) + 20 * trunc(seq / 8))::FLOAT AS y, 12::FLOAT AS font_size, seq = 1 AS is_bold FROM b_noise), "
+    + ", styled AS (SELECT *, (72 + 14 * trunc(seq / 2) + 20 * trunc(seq / 8))::FLOAT AS y, 12::FLOAT AS font_size, seq = 1 AS is_bold FROM b_noise WHERE NOT (page % 7 = 0 AND 72 + 14 * trunc(seq / 2) + 20 * trunc(seq / 8) BETWEEN 94 AND 206)), "
     + _paras("styled", "doc_id, page")
     + f", {_HEADINGS}, {_flags('b_noise', 'page <= 150')}"
     + r""", pt AS (
@@ -146,12 +158,29 @@ _PAGE_BLOCKS = (
   SELECT l.*, marks OR (regexp_full_match(tt, '\d+/\d+') AND bool_or(marks) OVER (PARTITION BY doc_id, page))
          OR EXISTS (SELECT 1 FROM titles x WHERE x.doc_id = l.doc_id AND x.title = l.tt) AS is_noise FROM pl l
 ), everything AS (
-  SELECT doc_id, page, para_idx AS place, 'text' AS kind, text, is_heading, NULL AS image_ref FROM pf WHERE NOT is_noise AND page % 10 <> 0
-  UNION ALL SELECT source, doc_id, 2147483647, 'image', NULL, false, '0' FROM documents WHERE doc_id % 5 = 0)"""
+  SELECT doc_id, page, para_idx AS place, 0 AS rank, 'text' AS kind, text, is_heading, NULL AS image_ref FROM pf WHERE NOT is_noise AND (page % 10 <> 0 OR page % 7 = 0)
+  UNION ALL SELECT source, doc_id, coalesce((SELECT max(para_idx) FROM pf WHERE NOT is_noise AND pf.doc_id = d.source AND pf.page = d.doc_id AND top_y < 100), -1), 1, 'image', NULL, false, 'table'
+    FROM documents d WHERE doc_id % 7 = 0
+  UNION ALL SELECT source, doc_id, 2147483647, 2, 'image', NULL, false, '0' FROM documents WHERE doc_id % 5 = 0 AND doc_id % 7 <> 0)"""
 )
 
-EMPTY = "未能从这份 PDF 中提取到可显示的文字或图片内容（可能是扫描图片、无文字层的 PDF）"
-ERROR = "打开 PDF 失败，请确认文件是有效的 PDF 且未加密"
+EMPTY = "Nothing to show: no text and no images were found."
+ERROR = "This document cannot be read."
+
+#: Wrapping at 40. The lines hold no white space but spaces, no CJK and no word wider than a line, so cutting words is left to the unit tests.
+_WRAP = r"""RECURSIVE widths AS (
+  SELECT 0 AS n, 0::FLOAT AS other, 0::FLOAT AS space UNION ALL SELECT n + 1, (other + 0.55::FLOAT)::FLOAT, (space + 0.3::FLOAT)::FLOAT FROM widths WHERE n < 200
+), known AS (SELECT list(other ORDER BY n) AS others, list(space ORDER BY n) AS spaces FROM widths), """ + _LINES + r""", words AS (
+  SELECT doc_id, page, seq, list_transform(regexp_extract_all(text, ' +|[^ ]+'), lambda t: {
+      't': t, 'used': CASE WHEN t[1] = ' ' THEN spaces[len(t) + 1] ELSE others[len(t) + 1] END, 'done': []::VARCHAR[]}) AS tokens FROM b_lines, known
+), wrapped AS (
+  SELECT doc_id, page, seq, list_reduce(list_prepend({'t': '', 'used': 0::FLOAT, 'done': []::VARCHAR[]}, tokens), lambda line, x: CASE
+      WHEN x.t[1] = ' ' AND line.t = '' THEN line
+      WHEN (line.used + x.used)::FLOAT <= 40 THEN {'t': line.t || x.t, 'used': (line.used + x.used)::FLOAT, 'done': line.done}
+      WHEN x.t[1] = ' ' THEN {'t': '', 'used': 0::FLOAT, 'done': list_append(line.done, rtrim(line.t))}
+      ELSE {'t': x.t, 'used': x.used, 'done': list_append(line.done, rtrim(line.t))} END) AS line FROM words
+), every_line AS (
+  SELECT doc_id, page, seq, CASE WHEN line.t <> '' OR len(line.done) = 0 THEN list_append(line.done, rtrim(line.t)) ELSE line.done END AS done FROM wrapped)"""
 
 ORACLE_SQL: dict[str, str] = {
     "clean_lines": f"WITH {_NOISE}, {_flags('b_noise')} SELECT doc_id, page, seq, text FROM flagged WHERE NOT is_noise",
@@ -194,7 +223,10 @@ FROM supplier""",
 SELECT doc_id, page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY place, rank, n) - 1)::BIGINT AS block_idx, kind, text, is_heading, image_ref FROM everything""",
     "extract_document": f"WITH {_DOCUMENT} SELECT doc_id, para_idx, page, top_y, text, font_size, is_bold FROM kept",
     "document_images": f"""WITH {_DOCUMENT} SELECT source AS doc_id, doc_id AS page, 0::BIGINT AS kind,
-  coalesce((SELECT max(para_idx) FROM kept k WHERE k.doc_id = d.source AND k.page <= d.doc_id), -1) AS after_idx FROM documents d WHERE doc_id % 5 = 0""",
+  coalesce((SELECT max(para_idx) FROM kept k WHERE k.doc_id = d.source AND k.page <= d.doc_id), -1) AS after_idx FROM documents d WHERE doc_id % 5 = 0 AND doc_id % 7 <> 0
+UNION ALL SELECT source, doc_id, 1, coalesce((SELECT max(para_idx) FROM kept k WHERE k.doc_id = d.source AND (k.page < d.doc_id OR k.page = d.doc_id AND k.top_y < 100)), -1)
+  FROM documents d WHERE doc_id % 7 = 0""",
+    "reflow_lines": f"WITH {_WRAP} SELECT doc_id, page, seq, (i - 1)::BIGINT AS line_no, done[i] AS line FROM (SELECT *, unnest(range(1, len(done) + 1)) AS i FROM every_line)",
     "line_width": "SELECT p_partkey, CASE WHEN p_size - 5 <= 0 THEN 30 ELSE greatest(trunc(p_partkey * 3 / (p_size - 5)), 10) END::BIGINT AS chars FROM part",
     "subsampling": """SELECT p_partkey, (SELECT min(f) FROM (VALUES (1), (2), (4), (8), (16), (32), (64)) v(f)
   WHERE greatest(p_partkey * 17 % 70000 + 1, p_size * 91) // f <= 2000)::BIGINT AS factor FROM part""",
@@ -211,19 +243,47 @@ FROM (SELECT p_partkey, p_size AS w, p_partkey % 11 AS h, p_partkey % 18 AS bits
   upper(string_agg(repeat(substr(s, 2 * (31 - ((i % 8) * 4 + i // 8)) + 1, 2), 3), '' ORDER BY i)) AS turned
 FROM (SELECT p_partkey, sha256(p_partkey::VARCHAR) AS s FROM part), range(32) r(i) GROUP BY p_partkey""",
     "content_key": "SELECT doc_id, sha256(text) AS file_key FROM documents",
-    "progress_upsert": """WITH u AS (SELECT user_id::VARCHAR AS k, arg_max(event_id % 7 - 1, event_id) AS page FROM events WHERE event_id % 3 <> 0 GROUP BY 1),
+    "progress_upsert": """WITH u AS (SELECT user_id::VARCHAR AS k, arg_max(event_id % 7 - 1, event_id) AS page FROM events GROUP BY 1),
 s AS (SELECT DISTINCT user_id::VARCHAR AS k FROM events)
 SELECT k AS file_key, greatest(coalesce(u.page, 5), 1) AS page FROM s LEFT JOIN u USING (k) UNION ALL SELECT 'old' || k, 5 FROM s""",
+    "progress_read": "SELECT DISTINCT user_id::VARCHAR AS file_key, CASE WHEN user_id % 2 = 0 THEN greatest(user_id % 9 - 2, 1) END AS page FROM events",
     "settings_clamp": """SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 16 ELSE least(greatest(p_size, 12), 32) END::BIGINT AS font_size,
   least(greatest((p_size / 16)::FLOAT, 1), 2)::DOUBLE AS line_spacing, least(greatest(p_size - 10, 8), 32)::BIGINT AS padding,
   least(greatest(p_partkey % 60 - 10, 0), 32) AS block_spacing FROM part""",
-    "load_state": f"""SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 AND p_size > 5 THEN 'success' ELSE 'error' END AS state,
-  CASE WHEN p_partkey % 4 <> 0 AND p_size > 5 THEN p_size - 5 ELSE 0 END::BIGINT AS page_count,
-  CASE WHEN p_partkey % 4 = 0 THEN CASE WHEN p_partkey % 3 = 2 THEN p_name ELSE '{ERROR}' END WHEN p_size <= 5 THEN '{EMPTY}' END AS message FROM part""",
+    "load_state": f"""SELECT p_partkey, CASE WHEN good THEN 'success' ELSE 'error' END AS state, CASE WHEN good THEN p_size - 5 ELSE 0 END::BIGINT AS page_count,
+  CASE WHEN p_partkey % 4 = 0 THEN CASE WHEN p_partkey % 3 = 2 THEN p_name ELSE '{ERROR}' END WHEN NOT good THEN '{EMPTY}' END AS message
+FROM (SELECT *, p_partkey % 4 <> 0 AND p_size > 5 AND p_partkey % 7 <> 0 AS good FROM part)""",
     "slider_maps": """SELECT p_partkey, (floor((p_partkey % 101) / 100 * (p_size - 1) + 0.5) + 1)::BIGINT AS page,
-  least(greatest(trunc(((p_size % 11) / 8)::FLOAT / 0.1::FLOAT), 0), 10)::BIGINT AS progress FROM part""",
-    "page_blocks": f"""WITH {_PAGE_BLOCKS} SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY place) - 1 AS block_idx, kind, text, is_heading, image_ref
+  least(greatest(trunc(((p_size % 11) / 8)::FLOAT / 0.1::FLOAT), 0), 10)::BIGINT AS progress, spacing::DOUBLE AS spacing,
+  least(greatest(trunc(((spacing - 1::FLOAT)::FLOAT / 0.1::FLOAT)::FLOAT), 0), 10)::BIGINT AS again
+FROM (SELECT *, (1::FLOAT + ((p_size % 11)::FLOAT * 0.1::FLOAT)::FLOAT)::FLOAT AS spacing FROM part)""",
+    "page_blocks": f"""WITH {_PAGE_BLOCKS} SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY place, rank) - 1 AS block_idx, kind, text, is_heading, image_ref
 FROM everything""",
+    "single_page": f"""WITH {_PAGE_BLOCKS} SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY place, rank) - 1 AS block_idx, kind, text, is_heading, image_ref
+FROM everything WHERE page = 14""",
+    "path_segments": f"""WITH {_PATHS} SELECT doc_id, page, path_seq::BIGINT AS path_seq, (row_number() OVER (PARTITION BY page, path_seq ORDER BY k, s) - 1)::BIGINT AS seg_seq,
+  x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2, painted FROM edges""",
+    "painted_segments": f"""WITH {_PATHS} SELECT doc_id, page, path_seq::BIGINT AS path_seq, seg_seq FROM (
+  SELECT *, (row_number() OVER (PARTITION BY page, path_seq ORDER BY k, s) - 1)::BIGINT AS seg_seq FROM edges) WHERE painted""",
+    "glyph_lines": """SELECT 1::BIGINT AS doc_id, page, (row_number() OVER (PARTITION BY page ORDER BY y, x, k) - 1)::BIGINT AS seq, p_name AS text, y::DOUBLE AS y,
+  (8 + least(n - 1, 4))::DOUBLE AS font_size, bold * 2 > n AS is_bold
+FROM (SELECT p_partkey AS k, p_partkey // 20 AS page, p_partkey * 37 % 100 AS y, p_partkey % 3 * 100 AS x, p_name, len(p_name) AS n,
+  CASE WHEN p_partkey % 11 = 0 THEN len(p_name) ELSE len(list_filter(range(len(p_name)), lambda i: (p_partkey + i) % 3 < p_partkey % 3)) END AS bold FROM part WHERE p_partkey % 13 <> 0)""",
+    "strip_pixels": """WITH s AS (
+  SELECT conv_id, turn, turn = max(turn) OVER (PARTITION BY conv_id) AS last, count(*) OVER (PARTITION BY conv_id) AS n, upper(sha256(conv_id || '-' || turn)) AS h FROM conversations
+)
+SELECT 1::BIGINT AS doc_id, conv_id AS page, 3 * n - 2 AS width, 2::BIGINT AS height, CASE WHEN conv_id % 5 = 0 AND min(turn) = 0 THEN 'none' ELSE
+  string_agg(CASE WHEN last THEN h[1:6] ELSE h[1:18] END, '' ORDER BY turn) || string_agg(CASE WHEN last THEN h[7:12] ELSE h[19:36] END, '' ORDER BY turn) END AS pixels
+FROM s WHERE n >= 3 GROUP BY conv_id, n""",
+    "raw_depths": """WITH b AS (
+  SELECT p_partkey, p_partkey % 16 + 1 AS bits, CASE WHEN p_partkey % 5 < 2 THEN 1 ELSE 3 END AS n,
+         array_to_string(list_transform(string_split(sha256(p_partkey::VARCHAR), ''), lambda c: lpad(bin(('0x' || c)::INT), 4, '0')), '') AS s FROM part
+), v AS (
+  SELECT p_partkey, bits, n, i, substr(s, (i // (2 * n)) * ((2 * n * bits + 7) // 8 * 8) + (i % (2 * n)) * bits + 1, bits) AS w FROM b, range(12) r(i) WHERE i < 4 * n
+)
+SELECT p_partkey, string_agg(repeat(printf('%02X', list_sum(list_transform(range(bits), lambda k: w[k + 1]::BIGINT << (bits - 1 - k)))::BIGINT * 255 // ((1 << bits) - 1)), CASE WHEN n = 1 THEN 3 ELSE 1 END),
+  '' ORDER BY i) AS rgb FROM v GROUP BY p_partkey""",
+    "page_status": "SELECT p_partkey, CASE WHEN p_partkey % 18 IN (7, 8) THEN 'ok' ELSE 'failed' END AS status FROM part",
     "decode_routes": """SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN 'raw'
   WHEN p_partkey % 2 = 0 AND greatest(p_partkey * 17 % 70000 + 1, p_size * 91) > 2000
        AND p_partkey % 5 = 3 THEN 'subsampled' ELSE 'library' END AS route FROM part""",

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import binary, geometry, reflow, text
-from quire.operators import noise, outline, paragraphs, placement, store, tables
+from quire.operators import glyphs, noise, outline, paragraphs, placement, store, tables
 from quire.plans import documents
-from quire.sources import frames
+from quire.sources import files, frames
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -148,6 +148,33 @@ def region_placement(spark, sf):
     return placement.place_regions(regions, frames.part_paragraphs(spark, sf))
 
 
+@query
+def path_segments(spark, sf):
+    """Every segment of the path operations, whether painted or not."""
+    return tables.path_segments(frames.path_ops(spark, sf))
+
+
+@query
+def painted_segments(spark, sf):
+    """Path operations to the segments that count, unpainted paths left out."""
+    return tables.capped_segments(tables.path_segments(frames.path_ops(spark, sf))).select("doc_id", "page", "path_seq", "seg_seq")
+
+
+@query
+def glyph_lines(spark, sf):
+    return glyphs.lines_of_glyphs(frames.glyph_frame(spark, sf))
+
+
+@query
+def strip_pixels(spark, sf):
+    """Strips of three columns (the last of one) and two rows, side by side; a strip cut short makes its page's pixels null."""
+    images = frames.image_frame(spark, sf).withColumn("width", F.expr("if(width = 19, 1, 3)")).withColumn("height", F.lit(2))
+    data = F.unhex(F.sha2(F.concat_ws("-", "page", "img_seq"), 256))
+    short = (F.col("page") % 5 == 0) & (F.col("img_seq") == 0)
+    images = images.withColumn("pixels", F.substring(data, F.lit(1), F.col("width") * 6 - short.cast("int")))
+    return placement.stitched_pixels(images).withColumn("pixels", F.coalesce(F.hex("pixels"), F.lit("none")))
+
+
 @query
 def outline_flat(spark, sf):
     return outline.flatten(frames.outline_nodes(spark, sf))
@@ -194,9 +221,8 @@ def _document(spark, sf):
     y = F.expr("72 + 14 * (seq div 2) + 20 * (seq div 8)")
     lines = lines.withColumn("y", y.cast("float")).withColumn("font_size", F.lit(12.0).cast("float")).withColumn("is_bold", F.lit(False))
     pages = frames.read(spark, sf, "documents").selectExpr("source AS doc_id", "doc_id AS page", "612f AS width", "3000000f AS height")
-    segments = frames.segment_frame(spark, sf).where("false").withColumn("doc_id", F.lit("none"))
     images = pages.where("page % 5 = 0").select("doc_id", "page", F.lit(0).alias("img_seq"))
-    return documents.extract_document(lines, segments, images, pages)
+    return documents.extract_document(lines, frames.document_segments(pages), images, pages)
 
 
 @query
@@ -255,6 +281,23 @@ def raw_decode(spark, sf):
     return frames.read(spark, sf, "part").select("p_partkey", F.hex(pixels).alias("rgb"), F.hex(turned).alias("turned"))
 
 
+@query
+def raw_depths(spark, sf):
+    """Two rows of two samples, of 1 to 16 bits and one or three components."""
+    p = frames.read(spark, sf, "part").selectExpr("p_partkey", "int(p_partkey % 16 + 1) AS bits", "if(p_partkey % 5 < 2, 1, 3) AS n")
+    data = F.substring(F.unhex(F.sha2(F.col("p_partkey").cast("string"), 256)), F.lit(1), (binary.row_bytes(F.lit(2), F.col("n"), F.col("bits")) * 2).cast("int"))
+    return p.select("p_partkey", F.hex(binary.raw_pixels(data, F.lit(2), F.lit(2), F.col("bits"), F.col("n"))).alias("rgb"))
+
+
+@query
+def page_status(spark, sf):
+    """Pages whose samples cannot be decoded are failed rows, not a failed job."""
+    p = frames.read(spark, sf, "part").selectExpr("p_partkey", "int(p_partkey % 18) AS bits")
+    data = F.unhex(F.sha2(F.col("p_partkey").cast("string"), 256))
+    found = files.failed_rows(p.select("p_partkey", binary.raw_pixels(data, F.lit(4), F.lit(8), F.col("bits"), F.lit(1)).alias("rgb")), "rgb")
+    return found.select("p_partkey", "status")
+
+
 @query
 def decode_routes(spark, sf):
     p = frames.read(spark, sf, "part").selectExpr(
@@ -265,20 +308,29 @@ def decode_routes(spark, sf):
     return p.select("p_partkey", binary.decode_route(F.col("bits"), F.col("suffix"), factor, F.col("components")).alias("route"))
 
 
-@query
-def page_blocks(spark, sf):
-    """Page mode from lines to display blocks; full pages of image on every tenth page, a small one on other fifths."""
+def _page_blocks(spark, sf, page=None):
+    """Page mode from lines to display blocks; tables on every seventh page, full pages of image on every tenth, a small one on other fifths."""
     lines = frames.noise_frame(spark, sf)
     y = F.expr("72 + 14 * (seq div 2) + 20 * (seq div 8)").cast("float")
     lines = lines.withColumn("y", y).withColumn("font_size", F.lit(12.0).cast("float")).withColumn("is_bold", F.col("seq") == 1)
     pages = frames.read(spark, sf, "documents").selectExpr("source AS doc_id", "doc_id AS page", "612f AS width", "792f AS height")
-    segments = frames.segment_frame(spark, sf).where("false").withColumn("doc_id", F.lit("none"))
     ctm = "named_struct('a', float(if(page % 10 = 0, 600, 10)), 'd', float(if(page % 10 = 0, 700, 10))) AS ctm"
     images = pages.where("page % 5 = 0").selectExpr("doc_id", "page", "0 AS img_seq", ctm)
-    found = documents.page_blocks(lines, segments, images, pages)
+    found = documents.page_blocks(lines, frames.document_segments(pages), images, pages, page)
     return found.withColumn("is_heading", F.coalesce("is_heading", F.lit(False)))
 
 
+@query
+def page_blocks(spark, sf):
+    return _page_blocks(spark, sf)
+
+
+@query
+def single_page(spark, sf):
+    """One page of every document that has it: loading a page is the feature."""
+    return _page_blocks(spark, sf, 14)
+
+
 @query
 def reflow_lines(spark, sf):
     lines = frames.line_frame(spark, sf).select("doc_id", "page", "seq", F.posexplode(reflow.reflow(F.col("text"), 40)).alias("line_no", "line"))
@@ -296,7 +348,15 @@ def progress_upsert(spark, sf):
     updates = e.selectExpr("cast(user_id AS string) AS file_key", "int(event_id % 7) - 1 AS page", "event_id AS ts")
     stored = e.selectExpr("cast(user_id AS string) AS file_key").distinct().selectExpr("file_key", "5 AS page")
     more = stored.selectExpr("concat('old', file_key) AS file_key", "page")
-    return store.upsert_progress(stored.unionByName(more), updates.where("ts % 3 <> 0"))
+    return store.upsert_progress(stored.unionByName(more), updates)
+
+
+@query
+def progress_read(spark, sf):
+    """Where each document was left; progress is kept for the even users only, in part under the first page."""
+    files = frames.read(spark, sf, "events").selectExpr("cast(user_id AS string) AS file_key").distinct()
+    kept = files.where("int(file_key) % 2 = 0").selectExpr("file_key", "int(file_key) % 9 - 2 AS page")
+    return store.read_progress(files, kept)
 
 
 @query
@@ -309,7 +369,7 @@ def settings_clamp(spark, sf):
 
 @query
 def load_state(spark, sf):
-    p = frames.read(spark, sf, "part").selectExpr("p_partkey", "int(p_size - 5) AS pages", "case p_partkey % 3 when 0 then null when 1 then ' ' else p_name end AS error", "p_partkey % 4 = 0 AS failed")
+    p = frames.read(spark, sf, "part").selectExpr("p_partkey", "if(p_partkey % 7 = 0, null, int(p_size - 5)) AS pages", "case p_partkey % 3 when 0 then null when 1 then '\\n\u3000' else p_name end AS error", "p_partkey % 4 = 0 AS failed")
     return p.select("p_partkey", store.load_state(F.col("pages"), F.col("error"), F.col("failed")).alias("s")).select(
         "p_partkey", "s.state", F.coalesce("s.page_count", F.lit(0)).alias("page_count"), "s.message"
     )
@@ -322,6 +382,9 @@ def slider_maps(spark, sf):
         "p_partkey",
         geometry.scrubber_page(F.col("fraction"), F.col("p_size")).alias("page"),
         geometry.progress_of_spacing(geometry.f32(1) + F.col("progress") / F.lit(8)).alias("progress"),
+        geometry.spacing_of_progress(F.col("progress")).alias("spacing"),
+        # the way there and back on the slider's own steps, which truncation does not always survive
+        geometry.progress_of_spacing(geometry.spacing_of_progress(F.col("progress"))).alias("again"),
     )
 
 

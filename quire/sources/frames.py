@@ -31,21 +31,23 @@ def styled_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def noise_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with a running title, dates, URLs and page counters put in."""
-    docs = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"))
+    docs = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text")
     page = F.col("page")
 
-    def injected(seq: int, text, where=None) -> DataFrame:
-        rows = docs if where is None else docs.where(where)
-        return rows.select("doc_id", "page", F.lit(seq).alias("seq"), text.alias("text"))
-
-    return (
-        line_frame(spark, sf_dir)
-        .select("doc_id", "page", "seq", "text")
-        .unionByName(injected(-4, F.concat(F.lit("Handbook "), F.col("doc_id"))))
-        .unionByName(injected(-3, F.lit("2026/7/10 23:21"), page % 3 != 0))
-        .unionByName(injected(900001, F.concat(F.lit("https://example.com/"), F.col("doc_id")), page % 3 == 1))
-        .unionByName(injected(900002, F.concat((page % 50 + 1).cast("string"), F.lit("/50"))))
+    def injected(seq: int, text, where=None):
+        one = F.array(F.struct(F.lit(seq).alias("seq"), text.alias("text"), F.lit(True).alias("put_in")))
+        return one if where is None else F.when(where, one).otherwise(F.filter(one, lambda _: F.lit(False)))
+
+    own = F.transform(F.coalesce(F.split("text", "\n"), F.array().cast("array<string>")), lambda t, i: F.struct(i.alias("seq"), t.alias("text"), F.lit(False).alias("put_in")))
+    rows = F.concat(
+        own,
+        injected(-4, F.concat(F.lit("Handbook "), F.col("doc_id"))),
+        injected(-3, F.lit("2026/7/10 23:21"), page % 3 != 0),
+        injected(900001, F.concat(F.lit("https://example.com/"), F.col("doc_id")), page % 3 == 1),
+        injected(900002, F.concat((page % 50 + 1).cast("string"), F.lit("/50"))),
     )
+    flat = docs.select("doc_id", "page", F.explode(rows).alias("r")).select("doc_id", "page", "r.*")
+    return flat.where(F.col("put_in") | ~is_blank(F.col("text"))).drop("put_in")
 
 
 def cjk_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +73,41 @@ def segment_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return across.unionByName(down)
 
 
+def document_segments(pages: DataFrame) -> DataFrame:
+    """A grid of three lines each way from 100 to 200 points below the top of every seventh page."""
+    lines = [(50, 100, 550, 100), (50, 150, 550, 150), (50, 200, 550, 200), (50, 100, 50, 200), (300, 100, 300, 200), (550, 100, 550, 200)]
+    segments = [
+        F.struct(
+            F.lit(i).cast("long").alias("path_seq"), F.lit(0).alias("seg_seq"), F.lit(x1).cast("float").alias("x1"), (F.col("height") - y1).cast("float").alias("y1"),
+            F.lit(x2).cast("float").alias("x2"), (F.col("height") - y2).cast("float").alias("y2"), F.lit(True).alias("painted"),
+        )
+        for i, (x1, y1, x2, y2) in enumerate(lines)
+    ]
+    return pages.where("page % 7 = 0").select("doc_id", "page", F.explode(F.array(*segments)).alias("s")).select("doc_id", "page", "s.*")
+
+
+def path_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path operations of one document, four parts a page: a rectangle, lines and a curve, ended in four ways."""
+    ops = """array(
+      struct('move', float(p_size), float(10), 0f, 0f), struct('line', float(p_size + 100), float(10), 0f, 0f),
+      struct('curve', float(p_size + 100), float(200), 0f, 0f), struct('line', float(p_size), float(200), 0f, 0f), struct('close', 0f, 0f, 0f, 0f),
+      struct(element_at(array('stroke', 'fill', 'discard', 'both'), int(p_partkey % 4) + 1), 0f, 0f, 0f, 0f),
+      struct('rect', float(p_partkey % 100), float(p_size), 30f, 20f), struct('line', 7f, 8f, 0f, 0f),
+      struct(if(p_partkey % 3 = 0, 'curve', 'stroke'), 1f, 2f, 0f, 0f))"""
+    rows = read(spark, sf_dir, "part").selectExpr("1L AS doc_id", "p_partkey div 4 AS page", "p_partkey", f"posexplode({ops}) AS (k, o)")
+    return rows.selectExpr("doc_id", "page", "p_partkey * 10 + k AS op_seq", "o.col1 AS op", "o.col2 AS x", "o.col3 AS y", "o.col4 AS w", "o.col5 AS h")
+
+
+def glyph_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Glyphs of one document: a part's name is a line, twenty to a page; every thirteenth line is blank."""
+    parts = read(spark, sf_dir, "part").selectExpr("1L AS doc_id", "p_partkey div 20 AS page", "p_partkey AS line", "if(p_partkey % 13 = 0, '  ', p_name) AS name")
+    glyphs = parts.select("doc_id", "page", "line", F.posexplode(F.split("name", "")).alias("pos", "ch"))
+    return glyphs.selectExpr(
+        "doc_id", "page", "line", "pos", "ch", "float(line * 37 % 100 + pos) AS y", "float(line % 3 * 100 + pos * 6) AS x", "float(8 + pos % 5) AS font_size",
+        "case line % 11 when 0 then true when 1 then cast(null AS boolean) else false end AS force_bold", "if((line + pos) % 3 < line % 3, 'Foo-BoldOblique', 'Foo') AS font_name",
+    )
+
+
 def segment_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").selectExpr("1L AS doc_id", "l_orderkey AS page").distinct().selectExpr("*", "612f AS width", "792f AS height")
 
