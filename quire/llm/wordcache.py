@@ -7,6 +7,8 @@ import itertools
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 @functools.lru_cache(maxsize=4)
@@ -36,48 +38,66 @@ def as_bytes(ids: list[list[int]]) -> list[bytes]:
 class ChunkTable:
     """Ids of white-space separated chunks of a lower-casing tokenizer that drops white space, as little-endian uint32 bytes.
 
-    No token crosses ASCII white space, so a text's ids are its chunks' ids in order. A chunk is looked up whole
-    first. If it is new, closing ASCII punctuation is taken off a letter or digit, where the tokenizer cuts too, and
-    both parts are looked up in lower case; only parts that are new as well are encoded. Either table starts anew when it is full, which
-    only costs encoding again.
+    No token crosses ASCII white space, so a text's ids are its chunks' ids in order. Arrow finds the different chunks
+    of a batch, takes closing ASCII punctuation off a letter or digit, where the tokenizer cuts too, and puts the ids
+    back in order. The parts are looked up in lower case; only parts that are new are encoded. The table starts anew
+    when it holds too many parts or too many bytes, which only costs encoding again.
     """
 
-    _TAIL = b".,!?;:%&*$#|"
-
-    def __init__(self, path: str, most_chunks: int = 350_000, most_parts: int = 700_000):
-        self.path, self.most_chunks, self.most_parts = path, most_chunks, most_parts
-        self.chunks: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-
-    def _cut(self, chunk: bytes) -> tuple[bytes, bytes]:
-        if b"<|" in chunk:
-            return chunk, b""
-        low = chunk.lower()
-        core = low.rstrip(self._TAIL)
-        if core and len(core) < len(low):
-            last = core[-1:] if core[-1] < 128 else core[-4:].decode("utf-8", "ignore")[-1:].encode()
-            if last.isalnum() or last.decode().isalpha():
-                return core, low[len(core) :]
-        return low, b""
+    #: A letter or digit, and the punctuation after it.
+    _CUT = r"(?s)^(?P<core>.*[a-z0-9\pL])(?P<tail>[.,!?;:%&*$#|]+)$"
+    _TAIL = ".,!?;:%&*$#|"
+
+    def __init__(self, path: str, most_parts: int = 700_000, most_bytes: int = 32_000_000):
+        self.path, self.most_parts, self.most_bytes = path, most_parts, most_bytes
+        self.parts: dict[str, bytes] = {}
+        self.held = 0
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of different parts, from the table or the tokenizer."""
+        if len(self.parts) > self.most_parts or self.held > self.most_bytes:
+            self.parts, self.held = {"": b""}, 0
+        known = self.parts
+        new = [p for p in parts if p not in known]
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            ids = as_bytes(encode_all(self.path, some))
+            known.update(zip(some, ids))
+            self.held += sum(map(len, some)) + sum(map(len, ids))
+        return [known[p] for p in parts]
+
+    def _chunk_ids(self, chunks: pa.Array) -> pa.Array:
+        """Ids of different chunks."""
+        special = pc.match_substring(chunks, "<|")
+        low = pc.if_else(special, chunks, pc.ascii_lower(chunks))
+        ends = pc.not_equal(pc.ascii_rtrim(low, characters=self._TAIL), low)
+        cut = pc.indices_nonzero(pc.and_(ends, pc.invert(special)))
+        both = pc.extract_regex(low.take(cut), self._CUT)
+        core, tail = (pc.struct_field(both, name) for name in ("core", "tail"))
+        cores = pc.replace_with_mask(low, *_mask(len(low), cut, pc.coalesce(core, low.take(cut))))
+        parts = pa.concat_arrays([cores, pc.fill_null(tail, "")]).dictionary_encode()
+        ids = pa.array(self._ids(parts.dictionary.to_pylist()), pa.large_binary()).take(parts.indices)
+        of_core, of_tail = ids.slice(0, len(low)), ids.slice(len(low))
+        joined = pc.binary_join_element_wise(of_core.take(cut), of_tail, pa.scalar(b"", pa.large_binary()))
+        return pc.replace_with_mask(of_core, *_mask(len(low), cut, joined))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        everything = set().union(*split)
-        if len(self.chunks) > self.most_chunks:
-            self.chunks.clear()
-        if len(self.parts) > self.most_parts:
-            self.parts.clear()
-        new = [(c, *self._cut(c)) for c in everything.difference(self.chunks)]
-        parts = self.parts
-        fresh = list({p for _, *both in new for p in both if p and p not in parts})
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            parts.update(zip(some, as_bytes(encode_all(self.path, [c.decode() for c in some]))))
-        parts[b""] = b""
-        for chunk, core, tail in new:
-            self.chunks[chunk] = parts[core] + parts[tail]
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+        """Ids of each text; a null text has none."""
+        whole = pa.array([(t or "").encode("utf-8", "replace") for t in texts], pa.large_binary()).cast(pa.large_string())
+        split = pc.ascii_split_whitespace(whole)
+        chunks = split.flatten().dictionary_encode()
+        ids = self._chunk_ids(chunks.dictionary).take(chunks.indices)
+        _, ends, data = ids.buffers()
+        at = np.frombuffer(ends, np.int64, len(ids) + 1)[split.offsets.to_numpy()].tolist()
+        flat = memoryview(data) if data else b""
+        return [bytes(flat[a:b]) for a, b in zip(at, at[1:])]
+
+
+def _mask(n: int, places: pa.Array, values: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The arguments of replace_with_mask that put ``values`` at ``places``."""
+    mask = np.zeros(n, bool)
+    mask[places.to_numpy()] = True
+    return pa.array(mask), values
 
 
 @functools.lru_cache(maxsize=2)
