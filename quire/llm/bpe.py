@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import functools
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -31,12 +31,16 @@ from quire.llm.wordcache import as_bytes, encode_all, load
 #: Words in every task's memory at most, and the documents they are counted in. Neither changes a result.
 FREQUENT_WORDS = 250_000
 SAMPLE_DOCS = 30_000
-#: A batch ends at so many characters.
-BATCH_CHARS = 6_000_000
+#: A batch ends with the text that brings it to so many bytes.
+BATCH_BYTES = 6_000_000
 #: Closing punctuation that is cut off a word.
 _TAIL = ".,!?;:%&*$#|"
 # fixed values: Unicode's white space
 _SPACE = "\t\n\v\f\r \x85\xa0  -     　"
+_WHITE = re.findall(f"[{_SPACE}]", "".join(map(chr, range(0x3001))))
+_ASCII_WHITE = np.isin(np.arange(256), [ord(c) for c in _WHITE if c < "\x80"])
+_WIDE_WHITE = [c.encode() for c in _WHITE if c >= "\x80"]
+_WHITE_LEADS = np.array(sorted({c[0] for c in _WIDE_WHITE}), np.uint8)
 _WORD = re.compile(f"[ ]?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
@@ -130,52 +134,102 @@ def _encode_runs(tokenizer: str, word_col: str, drop: bool = False):
     return run
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, pa.Array, list[str | None]]]:
-    """(key, ids, texts). The key is a hash of the batch's ids and texts."""
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, pa.Array, pa.Array]]:
+    """(key, ids, texts). The key is a hash of the batch's ids and texts. A batch ends with the text that fills it."""
     for whole in batches:
+        column = whole.column(1)
+        upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64))])
         at = 0
         while at < whole.num_rows:
-            # only a batch's texts are held as Python strings
-            texts, chars = [], 0
-            h = xxhash.xxh3_128()
-            while at + len(texts) < whole.num_rows and chars < BATCH_CHARS:
-                t = whole.column(1)[at + len(texts)].as_py()
-                chars += len(t or "")
-                h.update(b"\0" if t is None else b"\1" + t.encode("utf-8", "surrogatepass") + b"\0")
-                texts.append(t)
-            ids = whole.column(0).slice(at, len(texts))
-            h.update(repr(ids.to_pylist()))
+            end = min(int(np.searchsorted(upto, upto[at] + BATCH_BYTES)), whole.num_rows)
+            ids, texts = whole.column(0).slice(at, end - at), column.slice(at, end - at)
+            h = xxhash.xxh3_128(repr(ids.to_pylist()))
+            h.update(np.diff(upto[at : end + 1]).tobytes())
+            h.update(texts.is_valid().to_numpy(zero_copy_only=False).tobytes())
+            h.update(_text_bytes(texts)[0])
             yield h.digest(), ids, texts
-            at += len(texts)
-
-
-def refer(texts: list[str | None], places: dict[str, int], specials: tuple[str, ...]) -> tuple[np.ndarray, list[int], dict[str, int]]:
+            at = end
+
+
+def _text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' UTF-8 in one array, and where each begins and the last ends. Null texts have none."""
+    texts = pc.fill_null(texts, "")
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int32, len(texts) + 1 + texts.offset)[texts.offset :].astype(np.int64)
+    flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data and ends[-1] else np.zeros(0, np.uint8)
+    return flat, ends - ends[0]
+
+
+def _white(flat: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 belong to white space."""
+    white = _ASCII_WHITE[flat]
+    for lead in np.unique(flat[np.isin(flat, _WHITE_LEADS)]):
+        at = np.flatnonzero(flat == lead)
+        for char in _WIDE_WHITE:
+            if char[0] == lead:
+                found = at[at <= len(flat) - len(char)]
+                for k in range(1, len(char)):
+                    found = found[flat[found + k] == char[k]]
+                for k in range(len(char)):
+                    white[found + k] = True
+    return white
+
+
+def word_starts(flat: np.ndarray, text_ends: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """Where the words of ``split_words`` begin in the texts' bytes, all texts at once; ``single`` marks texts that are one word.
+
+    A run of white space is a word up to its last character, if something follows in the text. That one starts the
+    next word if it is a space and else is a word itself.
+    """
+    if not len(flat):
+        return np.zeros(0, np.int64)
+    white = _white(flat)
+    first = np.zeros(len(flat) + 1, bool)
+    first[text_ends] = True
+    start = first[:-1].copy()
+    start[1:] |= white[1:] & ~white[:-1]
+    ends = np.flatnonzero(~white[1:] & white[:-1] & ~first[1:-1]) + 1
+    last = ends - 1
+    for _ in range(2):
+        # back to the first byte of a wider character
+        last = np.where((flat[last] & 0xC0) == 0x80, last - 1, last)
+    start[last] = True
+    start[ends[flat[last] != ord(" ")]] = True
+    for i in np.flatnonzero(single):
+        start[text_ends[i] + 1 : text_ends[i + 1]] = False
+    return np.flatnonzero(start)
+
+
+def refer(texts: pa.Array, places: dict[str, int], specials: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
     """References of all texts' words, how many each text has, and the batch's own words with their references, which follow ``places``."""
+    flat, ends = _text_bytes(texts)
+    single = np.zeros(len(texts), bool)
+    for s in specials:
+        single |= pc.fill_null(pc.match_substring(texts, s), False).to_numpy(zero_copy_only=False)
+    starts = word_starts(flat, ends, single)
+    offsets = np.append(starts, len(flat)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(flat)).dictionary_encode()
     own: dict[str, int] = {}
-    cuts: dict[str, list[int]] = {}
-    refs = array("I")
-    sizes: list[int] = []
-    for text in texts:
-        before = len(refs)
-        words = split_words(text, specials)
-        found = list(map(places.get, words))
-        if None in found:
-            for w, at in zip(words, found):
-                if at is not None:
-                    refs.append(at)
-                    continue
-                parts = cuts.get(w)
-                if parts is None:
-                    parts = cuts[w] = [
-                        p if p is not None else own.setdefault(part, len(places) + len(own))
-                        for part in (cut_word(w) if len(words) > 1 else (w,))
-                        for p in (places.get(part),)
-                    ]
-                refs.extend(parts)
-        else:
-            refs.extend(found)
-        sizes.append(len(refs) - before)
-    return np.array(refs, dtype="<u4"), sizes, own
+    base = len(places)
+    names = words.dictionary.to_pylist()
+    head = list(map(places.get, names))
+    # references of the tails that are cut off; the others have none
+    tail = np.full(len(names), -1, np.int64)
+    for i in [i for i, at in enumerate(head) if at is None]:
+        parts = (names[i],) if any(s in names[i] for s in specials) else cut_word(names[i])
+        found = [at if (at := places.get(p)) is not None else own.setdefault(p, base + len(own)) for p in parts]
+        head[i] = found[0]
+        if len(found) > 1:
+            tail[i] = found[1]
+    at = words.indices.to_numpy()
+    heads, tails = np.array(head, np.int64)[at], tail[at]
+    two = tails >= 0
+    refs = np.empty(len(at) + int(two.sum()), "<u4")
+    spot = np.arange(len(at)) + np.cumsum(two) - two
+    refs[spot] = heads
+    refs[spot[two] + 1] = tails[two]
+    upto = np.concatenate([[0], np.cumsum(1 + two)])[np.searchsorted(starts, ends)]
+    return refs, np.diff(upto), own
 
 
 def encode(
@@ -229,7 +283,7 @@ def encode(
     # A batch asks for a word once, so one word holds no more than one of a batch's many requests, and its rows only
     # stream through: no key can hold a large share of this shuffle, and none needs to be split.
     found = rare.repartition("other").sortWithinPartitions("other").mapInArrow(_encode_runs(tokenizer, "other", drop=True), "other_key binary, at int, ids binary")
-    # a batch's own words are fewer than its characters, which are bounded
+    # a batch's own words are fewer than its bytes, which are bounded
     by_batch = found.groupBy("other_key").agg(F.collect_list(F.struct("at", "ids")).alias("others"))
     whole = parts.join(by_batch, F.col("key") == F.col("other_key"), "left").select("row_ids", "sizes", "refs", "others")
     return whole.mapInArrow(assemble, f"{id_col} {kind}, ids array<int>")

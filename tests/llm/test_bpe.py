@@ -145,3 +145,23 @@ def test_migration_between_islands(spark):
     for r in placed:
         loads[r.bin] = loads.get(r.bin, 0) + r.length
     assert sorted((r.key, r.length) for r in placed) == rng_sizes and max(loads.values()) <= 2048
+
+
+def test_references_spell_the_words_of_the_pattern():
+    import random
+
+    import pyarrow as pa
+
+    rng, specials, places = random.Random(5), ("<|endoftext|>",), {" a": 0, "b": 1, ".": 2}
+    signs = ["a", "b", "é", "文", " ", "  ", "\n", "\t", "\xa0", "\x85", " ", " ", "　", "\x1c", ".", "!", "-", "1", "\U0001f600"]
+    for _ in range(400):
+        texts = [None, *("".join(rng.choices(signs, k=rng.randrange(14))) + "<|endoftext|>" * (rng.random() < 0.05) for _ in range(rng.randrange(6)))]
+        refs, sizes, own = bpe.refer(pa.array(["z  q", *texts], pa.string()).slice(1), places, specials)
+        names, at = list(places) + list(own), 0
+        for text, n in zip(texts, sizes):
+            want = []
+            for word in bpe.split_words(text, specials):
+                want += [word] if word in places or specials[0] in word else bpe.cut_word(word)
+            assert [names[i] for i in refs[at : at + n]] == want
+            at += n
+        assert at == len(refs)
