@@ -98,18 +98,6 @@ def _spans(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32), ends
 
 
-_PLACES: dict[int, dict[str, int]] = {}
-
-
-def _places(sent) -> dict[str, int]:
-    """The frequent words' numbers, made once in a worker; those of an earlier query go."""
-    words = sent.value
-    if id(words) not in _PLACES:
-        _PLACES.clear()
-        _PLACES[id(words)] = {w: i for i, w in enumerate(words)}
-    return _PLACES[id(words)]
-
-
 #: Tasks that encode the frequent words.
 TOP_PARTS = 8
 
@@ -120,16 +108,17 @@ def _encode_runs(tokenizer: str, word_col: str, drop: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_ids = None, b""
         for b in batches:
-            words = b.column(word_col).to_pylist()
-            fresh = [w for before, w in zip([last, *words], words) if w != before]
-            ids: dict[str, bytes] = {last: last_ids}
-            for at in range(0, len(fresh), 4096):
-                some = fresh[at : at + 4096]
-                ids.update(zip(some, as_bytes(encode_all(tokenizer, some))))
-            if words:
-                last, last_ids = words[-1], ids[words[-1]]
+            if not b.num_rows:
+                continue
+            runs = pc.run_end_encode(b.column(word_col))
+            words, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
+            ids = [last_ids] if words[0] == last else []
+            for at in range(len(ids), len(words), 4096):
+                ids += as_bytes(encode_all(tokenizer, words[at : at + 4096]))
+            last, last_ids = words[-1], ids[-1]
+            each = pa.array(ids, pa.binary()).take(pa.array(np.repeat(np.arange(len(ids)), np.diff(ends, prepend=0))))
             kept = [n for n in b.schema.names if not (drop and n == word_col)]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array([ids[w] for w in words], pa.binary())], [*kept, "ids"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), each], [*kept, "ids"])
 
     return run
 
@@ -200,29 +189,49 @@ def word_starts(flat: np.ndarray, text_ends: np.ndarray, single: np.ndarray) ->
     return np.flatnonzero(start)
 
 
-def refer(texts: pa.Array, places: dict[str, int], specials: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
-    """References of all texts' words, how many each text has, and the batch's own words with their references, which follow ``places``."""
+def cut_words(words: pa.StringArray, specials: tuple[str, ...]) -> tuple[pa.StringArray, np.ndarray]:
+    """The parts of ``cut_word`` of all words, one word after the other, and which words have two. A word with a special token's string has one."""
+    flat, ends = _text_bytes(words)
+    cores = pc.ascii_rtrim(words, characters=_TAIL)
+    long = pc.binary_length(cores).to_numpy()
+    lasts = pc.utf8_slice_codeunits(cores, start=-1).dictionary_encode()
+    cuts = np.array([c.isalpha() or (c != "" and c in "0123456789") for c in lasts.dictionary.to_pylist()], bool)
+    two = (long < np.diff(ends)) & cuts[lasts.indices.to_numpy()]
+    for s in specials:
+        two &= ~pc.match_substring(words, s).to_numpy(zero_copy_only=False)
+    # a cut is a further end between a word's begin and its own end
+    bounds = np.insert(ends, np.flatnonzero(two) + 1, ends[:-1][two] + long[two])
+    return _strings(bounds, flat), two
+
+
+def _strings(bounds: np.ndarray, flat: np.ndarray) -> pa.StringArray:
+    return pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(flat))
+
+
+def references(texts: pa.Array, known: pa.StringArray, specials: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
+    """References of all texts' words, how many each text has, and the batch's own words, whose references follow those of ``known``."""
     flat, ends = _text_bytes(texts)
     single = np.zeros(len(texts), bool)
     for s in specials:
         single |= pc.fill_null(pc.match_substring(texts, s), False).to_numpy(zero_copy_only=False)
     starts = word_starts(flat, ends, single)
-    offsets = np.append(starts, len(flat)).astype(np.int32)
-    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(flat)).dictionary_encode()
-    own: dict[str, int] = {}
-    base = len(places)
-    names = words.dictionary.to_pylist()
-    head = list(map(places.get, names))
+    words = _strings(np.append(starts, len(flat)), flat).dictionary_encode()
+    head = _numbers(words.dictionary, known)
     # references of the tails that are cut off; the others have none
-    tail = np.full(len(names), -1, np.int64)
-    for i in [i for i, at in enumerate(head) if at is None]:
-        parts = (names[i],) if any(s in names[i] for s in specials) else cut_word(names[i])
-        found = [at if (at := places.get(p)) is not None else own.setdefault(p, base + len(own)) for p in parts]
-        head[i] = found[0]
-        if len(found) > 1:
-            tail[i] = found[1]
+    tail = np.full(len(head), -1, np.int64)
+    new = np.flatnonzero(head < 0)
+    parts, two = cut_words(words.dictionary.take(pa.array(new)), specials)
+    parts = parts.dictionary_encode()
+    found = _numbers(parts.dictionary, known)
+    fresh = found < 0
+    own = parts.dictionary.filter(pa.array(fresh))
+    found[fresh] = len(known) + np.arange(len(own))
+    refs_of_parts = found[parts.indices.to_numpy()]
+    first = np.arange(len(new)) + np.cumsum(two) - two
+    head[new] = refs_of_parts[first]
+    tail[new[two]] = refs_of_parts[first[two] + 1]
     at = words.indices.to_numpy()
-    heads, tails = np.array(head, np.int64)[at], tail[at]
+    heads, tails = head[at], tail[at]
     two = tails >= 0
     refs = np.empty(len(at) + int(two.sum()), "<u4")
     spot = np.arange(len(at)) + np.cumsum(two) - two
@@ -232,6 +241,17 @@ def refer(texts: pa.Array, places: dict[str, int], specials: tuple[str, ...]) ->
     return refs, np.diff(upto), own
 
 
+def _numbers(words: pa.StringArray, known: pa.StringArray) -> np.ndarray:
+    """Each word's place in ``known``, or -1."""
+    return pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype(np.int64)
+
+
+def refer(texts: pa.Array, places: dict[str, int], specials: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+    """``references`` with the words and their numbers as dicts."""
+    refs, sizes, own = references(texts, pa.array(list(places), pa.string()), specials)
+    return refs, sizes, {w: len(places) + i for i, w in enumerate(own.to_pylist())}
+
+
 def encode(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT_WORDS, sample_docs: int = SAMPLE_DOCS
 ) -> DataFrame:
@@ -247,13 +267,13 @@ def encode(
     top = frequent_words(bounded_sample(src, "_id", sample_docs, src.count()), tokenizer, frequent) if frequent else []
     # bounded by ``frequent``; tasks that split texts need the words, those that put ids back need only the ids
     sc = docs.sparkSession.sparkContext
-    sent, sent_ids = sc.broadcast([w for w, _ in top]), sc.broadcast(_spans([ids for _, ids in top]))
+    sent, sent_ids = sc.broadcast(pa.array([w for w, _ in top], pa.string())), sc.broadcast(_spans([ids for _, ids in top]))
 
     def skeleton(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per batch: references to words, compressed by byte planes; those of frequent words are small numbers."""
         pack = zstandard.ZstdCompressor(level=3)
         for key, ids, texts in _batches(batches):
-            refs, sizes, _ = refer(texts, _places(sent), _specials(tokenizer))
+            refs, sizes, _ = references(texts, sent.value, _specials(tokenizer))
             planes = refs.view(np.uint8).reshape(-1, 4).T.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([key], pa.binary()), _one_list(ids), _one_list(pa.array(sizes, pa.int32())), pa.array([pack.compress(planes)], pa.binary())],
@@ -263,11 +283,10 @@ def encode(
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(other_key, at, other): each batch's own words, once each, in order of spelling."""
         for key, _, texts in _batches(batches):
-            own = sorted(refer(texts, _places(sent), _specials(tokenizer))[2].items())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([key] * len(own), pa.binary()), pa.array([at for _, at in own], pa.int32()), pa.array([w for w, _ in own], pa.string())],
-                ["other_key", "at", "other"],
-            )
+            own = references(texts, sent.value, _specials(tokenizer))[2]
+            order = pc.sort_indices(own)
+            at = pc.add(order.cast(pa.int32()), pa.scalar(len(sent.value), pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(own), pa.binary()), at, own.take(order)], ["other_key", "at", "other"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, known_ends = sent_ids.value
