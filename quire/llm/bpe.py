@@ -13,6 +13,7 @@ join is by position within each row's array: no id is shuffled, and the order of
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import bounded_sample
-from quire.llm.wordcache import as_bytes, encode_all, load
+from quire.llm.wordcache import encode_all, load
 
 #: Words in every task's memory at most, and the documents they are counted in. Neither changes a result.
 FREQUENT_WORDS = 250_000
@@ -92,10 +93,21 @@ def frequent_words(sample: DataFrame, tokenizer: str, most: int) -> list[tuple[s
     return [(r.word, bytes(r.ids)) for r in sorted(ids.collect(), key=lambda r: (-r.n, r.word))]
 
 
-def _spans(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _id_type(tokenizer: str) -> np.dtype:
+    """The narrowest type that holds every id; words' ids are shuffled and sent as such."""
+    return np.dtype("<u2" if load(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+
+
+def _packed(ids: list[list[int]], kind: np.dtype) -> list[bytes]:
+    flat = np.fromiter(itertools.chain.from_iterable(ids), kind).tobytes()
+    ends = [0, *itertools.accumulate(kind.itemsize * len(x) for x in ids)]
+    return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def _spans(ids: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """All ids in one array, and where each word's begin and end."""
-    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])
-    return np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32), ends
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // kind.itemsize)])
+    return np.frombuffer(b"".join(ids), kind).astype(np.int32), ends
 
 
 #: Tasks that encode the frequent words.
@@ -114,7 +126,7 @@ def _encode_runs(tokenizer: str, word_col: str, drop: bool = False):
             words, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
             ids = [last_ids] if words[0] == last else []
             for at in range(len(ids), len(words), 4096):
-                ids += as_bytes(encode_all(tokenizer, words[at : at + 4096]))
+                ids += _packed(encode_all(tokenizer, words[at : at + 4096]), _id_type(tokenizer))
             last, last_ids = words[-1], ids[-1]
             each = pa.array(ids, pa.binary()).take(pa.array(np.repeat(np.arange(len(ids)), np.diff(ends, prepend=0))))
             kept = [n for n in b.schema.names if not (drop and n == word_col)]
@@ -266,8 +278,8 @@ def encode(
     kind = src.schema["_id"].dataType.simpleString()
     top = frequent_words(bounded_sample(src, "_id", sample_docs, src.count()), tokenizer, frequent) if frequent else []
     # bounded by ``frequent``; tasks that split texts need the words, those that put ids back need only the ids
-    sc = docs.sparkSession.sparkContext
-    sent, sent_ids = sc.broadcast(pa.array([w for w, _ in top], pa.string())), sc.broadcast(_spans([ids for _, ids in top]))
+    sc, kind_of_ids = docs.sparkSession.sparkContext, _id_type(tokenizer)
+    sent, sent_ids = sc.broadcast(pa.array([w for w, _ in top], pa.string())), sc.broadcast(_spans([ids for _, ids in top], kind_of_ids))
 
     def skeleton(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per batch: references to words, compressed by byte planes; those of frequent words are small numbers."""
@@ -295,7 +307,7 @@ def encode(
                 sizes = b.column(1)[i].values.to_numpy()
                 planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b.column(2)[i].as_py()), np.uint8)
                 refs = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
-                yield from _documents(id_col, b.column(0)[i].values, sizes, refs, known, known_ends, b.column(3)[i])
+                yield from _documents(id_col, b.column(0)[i].values, sizes, refs, known, known_ends, b.column(3)[i], kind_of_ids)
 
     parts = src.mapInArrow(skeleton, f"key binary, row_ids array<{kind}>, sizes array<int>, refs binary")
     rare = src.mapInArrow(others, "other_key binary, at int, other string")
@@ -313,7 +325,8 @@ def _one_list(values: pa.Array) -> pa.Array:
 
 
 def _documents(
-    id_col: str, row_ids: pa.Array, sizes: np.ndarray, refs: np.ndarray, known: np.ndarray, known_ends: np.ndarray, others: pa.Scalar
+    id_col: str, row_ids: pa.Array, sizes: np.ndarray, refs: np.ndarray, known: np.ndarray, known_ends: np.ndarray, others: pa.Scalar,
+    kind_of_ids: np.dtype,
 ) -> Iterator[pa.RecordBatch]:
     """Ids of the documents of a batch, put back by position, some hundred documents at a time."""
     flat, ends = known, known_ends
@@ -323,7 +336,7 @@ def _documents(
         # IndexError below if a word of the batch has not come back, never a document with less
         if not np.array_equal(at[order], np.arange(len(at)) + len(ends) - 1):
             raise KeyError("words of a batch are missing")
-        own, own_ends = _spans([ids[i] for i in order])
+        own, own_ends = _spans([ids[i] for i in order], kind_of_ids)
         flat, ends = np.concatenate([flat, own]), np.concatenate([ends, own_ends[1:] + ends[-1]])
     starts, lengths = ends[:-1], np.diff(ends)
     upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
