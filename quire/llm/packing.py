@@ -46,10 +46,10 @@ def pieces(docs: DataFrame, tokenizer: str, separator: int = 0, capacity: int =
         end = np.array([separator], dtype="<u4").tobytes()
         for whole in batches:
             # an Arrow batch is 64 MB at most; a text that is longer comes alone
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
                 rows, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(table.encode(b.column(1).to_pylist())):
+                for i, ids in enumerate(table.encode(b.column(1))):
                     ids += end
                     for k, s in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[s : s + 4 * capacity]
