@@ -165,3 +165,28 @@ def test_references_spell_the_words_of_the_pattern():
             assert [names[i] for i in refs[at : at + n]] == want
             at += n
         assert at == len(refs)
+
+
+def test_words_encoded_together_equal_words_encoded_alone():
+    import random
+
+    odd = ["İstanbul", "ΑΣ", "ﬁ", "ß", "文字", "é", "é", "a1", "'s", "<|endoftext|>", "ŉ", "x" * 5000, "½", "ª", "Ａ", "가", "가", "क्षि", "plain", "words"]
+    rng = random.Random(1)
+    for n in (0, 1, 63, 64, 65, 400):
+        parts = rng.choices(odd, k=n)
+        assert wordcache.encode_words(WORD, parts) == wordcache.as_bytes(wordcache.encode_all(WORD, parts))
+    # many groups of letters only, none of which holds an odd word
+    parts = ["".join(rng.choices("abcdefgh", k=rng.randrange(1, 12))) for _ in range(1000)]
+    assert wordcache.encode_words(WORD, parts) == wordcache.as_bytes(wordcache.encode_all(WORD, parts))
+    # a tokenizer whose pieces mark no word ends gets each part alone
+    assert wordcache.encode_words(BYTE, parts) == wordcache.as_bytes(wordcache.encode_all(BYTE, parts))
+
+
+def test_words_are_cut_like_one_word():
+    import pyarrow as pa
+
+    words = ["a.", "a", "..", "é!?", "²,", "文。.", "9%", "-.", "<|endoftext|>.", "x" * 300 + "...", "\x1c."]
+    parts, two = bpe.cut_words(pa.array(["skip", *words]).slice(1), ("<|endoftext|>",))
+    want = [(w,) if "<|endoftext|>" in w else bpe.cut_word(w) for w in words]
+    assert parts.to_pylist() == [p for w in want for p in w] and two.tolist() == [len(w) == 2 for w in want]
+    assert bpe.cut_words(pa.array([], pa.string()), ())[0].to_pylist() == []
