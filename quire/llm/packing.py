@@ -46,8 +46,8 @@ def pieces(docs: DataFrame, tokenizer: str, separator: int = 0, capacity: int =
         end = np.array([separator], dtype="<u4").tobytes()
         for whole in batches:
             # an Arrow batch is 64 MB at most; a text that is longer comes alone
-            for at in range(0, whole.num_rows, 2048):
-                b = whole.slice(at, 2048)
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
                 rows, piece, start, length, crc = [], [], [], [], []
                 for i, ids in enumerate(table.encode(b.column(1))):
                     ids += end
@@ -63,6 +63,8 @@ def pieces(docs: DataFrame, tokenizer: str, separator: int = 0, capacity: int =
                      pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+                # workers live on and serve later stages: give back what Arrow keeps for reuse
+                pa.default_memory_pool().release_unused()
 
     src = docs.select("doc_id", F.col("text").cast("string").alias("_text"))
     kind = src.schema["doc_id"].dataType.simpleString()
